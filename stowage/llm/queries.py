@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import decontaminate, langid, packing, pii, topk, toxicity, urls
+from stowage.llm import decontaminate, jaccard, langid, packing, pii, topk, toxicity, urls
 from stowage.llm.common import in_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
@@ -53,5 +57,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op2_pii, op4_url_filter, op5_toxicity, op6_langid, op7_topk, op8_decontaminate, op10_packing)
+    named = (op2_pii, op3_jaccard_join, op4_url_filter, op5_toxicity, op6_langid, op7_topk, op8_decontaminate, op10_packing)
     return {f.__name__: f for f in named}
