@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import decontaminate, jaccard, langid, packing, pii, topk, toxicity, urls
+from stowage.llm import decontaminate, jaccard, langid, packing, pii, substrings, topk, toxicity, urls
 from stowage.llm.common import in_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents")))
 
@@ -57,5 +61,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op2_pii, op3_jaccard_join, op4_url_filter, op5_toxicity, op6_langid, op7_topk, op8_decontaminate, op10_packing)
+    named = (op1_substring_dedup, op2_pii, op3_jaccard_join, op4_url_filter, op5_toxicity, op6_langid, op7_topk, op8_decontaminate, op10_packing)
     return {f.__name__: f for f in named}
