@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import decontaminate, jaccard, langid, packing, pii, substrings, topk, toxicity, urls
+from stowage.llm import decontaminate, jaccard, langid, mixing, packing, pii, substrings, topk, toxicity, urls
 from stowage.llm.common import in_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -56,10 +56,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = mixing.score(docs, *mixing.fit(docs, ~in_fold("doc_id", 5, 1)))
+    return scored.select("doc_id", in_fold("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def queries() -> dict:
-    named = (op1_substring_dedup, op2_pii, op3_jaccard_join, op4_url_filter, op5_toxicity, op6_langid, op7_topk, op8_decontaminate, op10_packing)
+    named = (op1_substring_dedup, op2_pii, op3_jaccard_join, op4_url_filter, op5_toxicity, op6_langid, op7_topk, op8_decontaminate, op9_lm_score, op10_packing)
     return {f.__name__: f for f in named}
