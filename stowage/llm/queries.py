@@ -69,3 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     named = (op1_substring_dedup, op2_pii, op3_jaccard_join, op4_url_filter, op5_toxicity, op6_langid, op7_topk, op8_decontaminate, op9_lm_score, op10_packing)
     return {f.__name__: f for f in named}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
