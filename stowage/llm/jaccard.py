@@ -7,9 +7,9 @@ candidate only if its prefixes meet under all three; candidates are verified on
 
 Equal sets are one node: only one document of a set and input split sends its prefixes, and membership is joined back.
 Prefix entries travel in packed blocks keyed by order and bucket, four bytes a token. A bucket emits all pairs
-of a token that at most ``SMALL_RUN`` nodes share. A larger run first links each node to the run's first node and to its
-predecessor; when those links are verified and merged, only nodes of different components still meet: those outside
-the run's main component against all its nodes. So no group emits its square, and no link between components is lost.
+of a token that at most ``SMALL_RUN`` nodes share. A larger run first offers each node the run's head, the node that is in
+most large runs; when those links are verified and merged, only nodes of different components still meet: those outside
+the main component of a cluster of runs against all its nodes, in blocks compared as incidence matrices. So no group emits its square, and no link between components is lost.
 
 Defined cases: a text without words, or null, has the empty set and its own component; fewer words than a shingle make one
 shingle of all; repeated rows are each returned; a null doc_id has component null unless a copy has one; other columns
@@ -37,7 +37,9 @@ CHUNK = 1 << 22  # shingles counted at once for that list
 REPEATS = 4  # occurrences in a chunk from which a shingle is counted
 BUCKET_TOKENS = 2_000_000  # prefix tokens of a bucket, about
 FLUSH_TOKENS = 1 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+BLOCK_NODES = 1024  # nodes of a cluster compared at once
+COLUMNS = 4096  # shingles of an incidence matrix
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -190,7 +192,7 @@ def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _meet(percent: int):
-    """Pairs of one bucket: all of small runs; first and predecessor, and the members, of large ones."""
+    """All pairs of one bucket's small runs; the members of its large ones."""
 
     def run(table: pa.Table) -> pa.Table:
         blocks = table.to_pydict()
@@ -218,9 +220,6 @@ def _meet(percent: int):
         out = [(np.full(len(pairs), 1 << order), pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))]
         if len(large):
             if order == 0:
-                inner = large[first[large] != large]
-                star = np.unique(np.stack([np.concatenate([node[first[inner]], node[inner - 1]]), np.concatenate([node[inner], node[inner]])], axis=1), axis=0)
-                out.append((np.full(len(star), ALL), star[:, 0], star[:, 1], np.zeros(len(star), np.int64)))
                 key = (np.int64(blocks["bucket"][0]) << 32) | token[large].astype(np.int64)
                 out.append((np.zeros(len(large), np.int64), node[large], size[large], key))
             held = np.unique(node[large])
@@ -245,10 +244,8 @@ def _verify(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold."""
-    pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, members: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(node, tokens): the whole sets of the needed nodes, read again from one text each."""
     owners = members.join(needed, "node").select("doc_id", "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +255,82 @@ def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, p
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), pa.array([found[k].tobytes() for k in right], pa.binary())], ["node", "tokens"])
 
     own = docs.join(owners, "doc_id").select("node", "text").mapInArrow(sets, "node long, tokens binary")
-    own = materialize(own.dropDuplicates(["node"]), "jaccard-sets")
+    return materialize(own.dropDuplicates(["node"]), "jaccard-sets")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets reach the threshold."""
+    pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
+    own = _sets(docs, members, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), words)
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets ``x`` with the sets ``y``, by products of incidence matrices."""
+    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(flat_x, flat_y)
+    of_x, of_y = np.repeat(np.arange(len(x)), list(map(len, x))), np.repeat(np.arange(len(y)), list(map(len, y)))
+    total = np.zeros((len(x), len(y)), np.float32)
+    for k in range(0, len(shared), COLUMNS):
+        part = shared[k : k + COLUMNS]
+        sides = []
+        for flat, of, n in ((flat_x, of_x, len(x)), (flat_y, of_y, len(y))):
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[at] == flat
+            side = np.zeros((n, len(part)), np.float32)
+            side[of[hit], at[hit]] = 1
+            sides.append(side)
+        total += sides[0] @ sides[1].T
+    return total
+
+
+def _between(percent: int):
+    """Links of two blocks of a cluster: one for each node of the first and each other component of the second."""
+
+    def run(first: pa.Table, second: pa.Table) -> pa.Table:
+        a, b, component_a, component_b = first.column("node").to_numpy(), second.column("node").to_numpy(), first.column("component").to_numpy(), second.column("component").to_numpy()
+        x, y = ([np.frombuffer(t, np.uint64) for t in side.column("tokens").to_pylist()] for side in (first, second))
+        if not x or not y:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        common, size_x, size_y = overlaps(x, y), np.array(list(map(len, x))), np.array(list(map(len, y)))
+        link = (100 * common >= percent * (size_x[:, None] + size_y[None, :] - common)) & (component_a[:, None] != component_b[None, :])
+        i, j = np.nonzero(link)
+        _, at = np.unique(np.stack([i, component_b[j]], axis=1), axis=0, return_index=True)
+        return pa.table({"a": pa.array(a[i[at]]), "b": pa.array(b[j[at]])})
+
+    return run
+
+
+def _across(runs: DataFrame, heads: DataFrame, found: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links between the components of large runs' nodes.
+
+    Nodes that large runs tie together form a cluster. In each, the nodes outside its main component meet all its nodes, block by
+    block; the blocks' sets are compared as matrices, and only links leave them.
+    """
+    ties = runs.join(heads, "token").select(F.col("node").alias("a"), F.col("head.node").alias("b"))
+    cluster = components(ties)
+    alone = ties.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    cluster = cluster.union(alone.join(cluster, "node", "left_anti")).withColumnRenamed("component", "cluster")
+    placed = materialize(cluster.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-placed")
+    share = placed.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    main = share.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("most")).where("k > 1")
+    if main.isEmpty():
+        return None
+    mixed = placed.join(main, "cluster")
+    held = mixed.join(_sets(docs, members, mixed.select("node"), words), "node")
+    rows, columns = F.ceil((F.col("n") - F.col("most")) / BLOCK_NODES).cast("int"), F.ceil(F.col("n") / BLOCK_NODES).cast("int")
+    spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    first = held.where("component <> main").select("cluster", spread(rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"), "node", "component", "tokens")
+    second = held.select("cluster", F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), spread(columns).alias("j"), "node", "component", "tokens")
+    met = first.groupBy("cluster", "i", "j").cogroup(second.groupBy("cluster", "i", "j")).applyInArrow(_between(percent), "a long, b long")
+    return materialize(met, "jaccard-links")
+
+
+def _sizes_fit(a: str, b: str, percent: int):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id): documents link when 100 * intersection >= percent * union."""
     spark = docs.sparkSession
@@ -285,21 +353,17 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     sure = pairs.where(F.col("bits") == ALL).select("a", "b")
     maybe = pairs.where(F.col("bits") != ALL).join(hot.select(F.col("node").alias("a"), F.col("held").alias("held_a")), "a").join(hot.select(F.col("node").alias("b"), F.col("held").alias("held_b")), "b")
     more = maybe.where(F.col("bits").bitwiseOR(F.col("held_a").bitwiseAND(F.col("held_b"))) == ALL).select("a", "b")
-    links = _linked(sure.union(more), docs, members, words, percent)
+    runs = met.where("bits = 0").select("token", F.col("a").alias("node"), F.col("b").alias("size"))
+    # the node in most large runs is the least changed of its copies, and so the likeliest to be linked with the rest
+    runs = materialize(runs.join(runs.groupBy("node").agg(F.count("*").alias("runs")), "node"), "jaccard-runs")
+    heads = runs.groupBy("token").agg(F.max_by(F.struct("node", "size"), F.struct("runs", "node")).alias("head"))
+    star = runs.join(heads, "token").where("node <> head.node").where(_sizes_fit("size", "head.size", percent)).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+    links = _linked(sure.union(more).union(star).distinct(), docs, members, words, percent)
     found = materialize(components(links), "jaccard-components")
 
-    runs = met.where("bits = 0").select("token", F.col("a").alias("node"), F.col("b").alias("size")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    runs = materialize(runs, "jaccard-runs")
-    if not runs.isEmpty():
-        share = runs.groupBy("token", "component").agg(F.count("*").alias("n"))
-        main = share.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-        mixed = runs.join(main, "token")
-        others = mixed.where("component <> main").select("token", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
-        sizes_fit = F.least("size_a", "size") * 100 >= F.greatest("size_a", "size") * percent
-        apart = others.join(mixed, "token").where((F.col("component_a") != F.col("component")) & sizes_fit & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("node"))))
-        rest = apart.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = links.union(_linked(rest, docs, members, words, percent))
-        found = materialize(components(links), "jaccard-components")
+    more = _across(runs, heads, found, docs, members, words, percent)
+    if more is not None:
+        found = materialize(components(links.union(more)), "jaccard-components")
 
     least = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))

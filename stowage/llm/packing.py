@@ -32,7 +32,7 @@ SENTENCE_PENALTY = 4.0  # padding tokens that a cut at a sentence end is worth
 HARD_PENALTY = 12.0  # the same for a cut inside a sentence
 HARD_STEP = 16  # step of the cuts inside a stretch without sentence ends
 HARD_GAP = 48  # longest stretch without such cuts
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 
 class WordIds(dict):
