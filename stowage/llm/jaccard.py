@@ -288,7 +288,9 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 def _between(percent: int):
     """Links of two blocks of a cluster: one for each node of the first and each other component of the second."""
 
-    def run(first: pa.Table, second: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
+        mine = table.column("mine").to_numpy()
+        first, second = table.filter(pa.array(mine)), table.filter(pa.array(~mine))
         a, b, component_a, component_b = first.column("node").to_numpy(), second.column("node").to_numpy(), first.column("component").to_numpy(), second.column("component").to_numpy()
         x, y = ([np.frombuffer(t, np.uint64) for t in side.column("tokens").to_pylist()] for side in (first, second))
         if not x or not y:
@@ -321,9 +323,9 @@ def _across(runs: DataFrame, heads: DataFrame, found: DataFrame, docs: DataFrame
     held = mixed.join(_sets(docs, members, mixed.select("node"), words), "node")
     rows, columns = F.ceil((F.col("n") - F.col("most")) / BLOCK_NODES).cast("int"), F.ceil(F.col("n") / BLOCK_NODES).cast("int")
     spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    first = held.where("component <> main").select("cluster", spread(rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"), "node", "component", "tokens")
-    second = held.select("cluster", F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), spread(columns).alias("j"), "node", "component", "tokens")
-    met = first.groupBy("cluster", "i", "j").cogroup(second.groupBy("cluster", "i", "j")).applyInArrow(_between(percent), "a long, b long")
+    first = held.where("component <> main").select("cluster", spread(rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"), "node", "component", "tokens", F.lit(True).alias("mine"))
+    second = held.select("cluster", F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), spread(columns).alias("j"), "node", "component", "tokens", F.lit(False).alias("mine"))
+    met = first.union(second).groupBy("cluster", "i", "j").applyInArrow(_between(percent), "a long, b long")
     return materialize(met, "jaccard-links")
 
 
