@@ -30,11 +30,11 @@ def version(text: Column) -> Column:
 
 def version_key(v: Column) -> Column:
     """What versions are ordered by: suffix and build do not count."""
-    return F.struct(v["major"], v["minor"], F.coalesce(v["patch"], F.lit(0)))
+    return F.when(v.isNotNull(), F.struct(v["major"], v["minor"], F.coalesce(v["patch"], F.lit(0))))
 
 
 def version_text(v: Column) -> Column:
-    return F.concat(F.concat_ws(".", v["major"].cast("string"), v["minor"].cast("string"), v["patch"].cast("string")), F.coalesce(F.concat(F.lit("-"), v["suffix"]), F.lit("")), F.coalesce(F.concat(F.lit("+"), v["build"]), F.lit("")))
+    return F.when(v.isNotNull(), F.concat(F.concat_ws(".", v["major"].cast("string"), v["minor"].cast("string"), v["patch"].cast("string")), F.coalesce(F.concat(F.lit("-"), v["suffix"]), F.lit("")), F.coalesce(F.concat(F.lit("+"), v["build"]), F.lit(""))))
 
 
 def format_name(text: Column) -> Column:

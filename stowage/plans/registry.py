@@ -1,7 +1,373 @@
-"""Queries over the driver's tables, one for each operator."""
+"""Queries over the driver's tables, one for each operator.
+
+Documents stand for files (path, content, size, hash), the labelled ones for what a store holds, parts for disk images, customers and
+orders for folders and files.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stowage import dims
+from stowage.functions import binary, hashing, paths, types
+from stowage.operators import codecs, dataflow, index, store, tree
+from stowage.session import ship
+from stowage.streaming import ingest
+
+IGNORED = ("!src1/en/1.txt", "src1/", "*9.txt", "src2/de/7.txt", "src3*en/4?.txt")
+TAGS = ("STEEL", "BRASS", "TIN", "ECONOMY", "STANDARD")
+GREP = "(the|der) [a-z]*ing"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), path.alias("path"), F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("hash"), F.lit("file").alias("type"), "lang", "source", text.alias("content"))
+
+
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"))
+    return files(spark, sf_dir).join(labelled, "pos", "left_semi").groupBy("hash").agg(F.min("size").alias("size"))
+
+
+def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir).select("hash", F.col("pos").alias("seq"), "size", F.col("lang").alias("content_type"), F.element_at(F.split("path", "/"), -1).alias("original_filename"), F.array("path").alias("original_paths"), (F.col("pos") % 1000).alias("created"), (F.col("pos") * 7 % 1000).alias("modified"))
+    return store.merge_metadata(rows)
+
+
+def flat(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("original_paths", F.array_join("original_paths", "|"))
+
+
+def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation/customer folders with an order file each."""
+    customer, orders, nation = (table(spark, sf_dir, t) for t in ("customer", "orders", "nation"))
+    path = F.concat_ws("/", "n_name", "c_name", F.concat(F.col("o_orderkey").cast("string"), F.lit(".bin")))
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(path.alias("path"), F.lit("file").alias("kind"), F.col("o_orderkey").alias("size"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.sha2("p_name", 256).alias("hash"), F.concat(F.col("p_partkey").cast("string"), F.lit(".img")).alias("filename"), F.split("p_type", " ").alias("tags"), F.col("p_size").alias("length"), F.col("p_name").alias("title"), F.col("p_brand").alias("publisher"), F.lit(None).cast("string").alias("developer"))
+
+
+def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+:/", "").alias("path"))
+
+
+def _hashes(s, d):
+    f = files(s, d)
+    return f.select("pos", *[hashing.hash_hex(F.col("content"), a).alias(a) for a in ("sha256", "sha1", "md5")])
+
+
+def _crc32(s, d):
+    return files(s, d).select("pos", hashing.hash_hex(F.col("content"), "crc32").alias("crc32"))
+
+
+def _named(s, d):
+    f = files(s, d).withColumn("algorithm", F.when(F.col("pos") % 2 == 0, "SHA256").otherwise("md5"))
+    return f.select("pos", hashing.hash_named(F.col("content"), F.col("algorithm")).alias("hash"))
+
+
+def _archive_stats(s, d):
+    entries = files(s, d).select("type", "size", "hash", (F.col("pos") % 10 == 0).alias("embedded"))
+    folder = files(s, d).select(F.lit("directory").alias("type"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("hash"), F.lit(False).alias("embedded"), "source").distinct().drop("source")
+    return store.archive_stats(entries.unionByName(folder))
+
+
+def _first(s, d):
+    return store.first_occurrence(files(s, d).select("hash", "pos", "path", "size"))
+
+
+def _missing(s, d):
+    return store.missing(files(s, d).select("pos", "hash"), held(s, d))
+
+
+def _extract(s, d):
+    chunks = held(s, d).withColumn("content", F.lit("x"))
+    rows = store.extract(files(s, d).select("pos", "path", "type", "hash"), chunks)
+    return rows.select("pos", "path", "error")
+
+
+def _errors(s, d):
+    return store.error_summary(_extract(s, d)).withColumn("messages", F.array_join("messages", "|"))
+
+
+def _mirror(s, d):
+    f = files(s, d).select("hash", "size", "pos").groupBy("hash").agg(F.min("pos").alias("pos"), F.min("size").alias("size"))
+    kept = lambda rule: f.where(rule).select("hash", "size")
+    return store.mirrored([kept("pos % 3 = 0"), kept("pos % 3 <= 1"), kept("pos % 2 = 0")])
+
+
+def _cached(s, d):
+    listing = files(s, d).select("path", "size", (F.col("pos") * 1_000_000).alias("mtime"), "content")
+    cache = files(s, d).where("pos % 4 <> 0").select("path", F.when(F.col("pos") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.lit("sha256").alias("algorithm"), (F.col("pos") * 1_000_000 + F.when(F.col("pos") % 7 == 0, 1_000_000).otherwise(999_999)).alias("mtime"), F.concat(F.lit("cached-"), F.col("pos").cast("string")).alias("hash"))
+    return store.cached_hashes(listing, cache)
+
+
+def _identifier(s, d):
+    f = files(s, d).select("pos", F.when(F.col("pos") % 3 == 0, F.substring("hash", 1, 40)).when(F.col("pos") % 3 == 1, F.concat(F.lit("x"), "hash")).otherwise(F.col("hash")).alias("hash"))
+    v = store.validity(F.lit(None).cast("string"), F.col("hash"), F.lit("sha256"))
+    return f.select("pos", v.alias("v")).select("pos", "v.is_valid", F.array_join("v.errors", "|").alias("errors"), F.array_join("v.warnings", "|").alias("warnings"))
+
+
+def _validate_write(s, d):
+    f = files(s, d).withColumn("claimed", F.when(F.col("pos") % 4 == 0, F.reverse("hash")).otherwise(F.col("hash")))
+    v = store.validity(F.col("content"), F.col("claimed"), F.lit("sha256"), least=100)
+    return f.select("pos", v.alias("v")).select("pos", "v.is_valid", F.array_join("v.errors", "|").alias("errors"))
+
+
+def _storage_path(s, d):
+    return files(s, d).select("pos", *[paths.storage_path(F.col("hash"), k).alias(f"depth{k}") for k in (1, 2, 3, 4)])
+
+
+def _path_identifier(s, d):
+    p = F.when(F.col("pos") % 2 == 0, paths.storage_path(F.col("hash"))).otherwise(F.col("path"))
+    return files(s, d).select("pos", paths.path_identifier(p).alias("identifier"))
+
+
+def _path_parts(s, d):
+    p = F.col("path")
+    return url_paths(s, d).select("page_id", paths.normalize(p).alias("normal"), paths.parent(p).alias("parent"), paths.name(p).alias("name"), paths.extension(p).alias("extension"), paths.is_hidden(p).alias("hidden"), paths.is_system(p).alias("system"), F.size(paths.parts(p)).alias("parts"))
+
+
+def _navigate(s, d):
+    base, path = F.concat_ws("/", "source", "lang"), F.concat(F.lit("./../x/../"), "lang", F.lit("/"), F.col("pos").cast("string"), F.lit(".txt"))
+    return files(s, d).select("pos", paths.resolve(base, path).alias("resolved"))
+
+
+def _ignore(s, d):
+    p = F.col("path")
+    one = {f"p{k}": paths.matches_pattern(p, x.removeprefix("!")) for k, x in enumerate(IGNORED)}
+    return files(s, d).select("pos", paths.ignored(p, IGNORED).alias("ignored"), *[c.alias(k) for k, c in one.items()])
+
+
+def _ignore_defaults(s, d):
+    return url_paths(s, d).select("page_id", paths.ignored(F.col("path"), dims.IGNORE_DEFAULTS).alias("ignored"))
+
+
+def _search(s, d):
+    found = index.search(images(s, d), any_tag=TAGS, min_length=10, max_length=40, title_contains="RED")
+    return found.select("filename", "title", "length")
+
+
+def _main_image(s, d):
+    rows = table(s, d, "part").select(F.col("p_brand").alias("folder"), F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), F.element_at(F.array(*map(F.lit, ("iso", "dmg", "img", "vhd", "txt"))), (F.col("p_partkey") % 5 + 1).cast("int")).alias("extension"))
+    rank = types.lookup(F.col("extension"), dims.MAIN_IMAGE_PRIORITY, 100)
+    best = rows.where(rank < 100).groupBy("folder").agg(F.min_by(F.struct("id", "extension", "size"), F.struct(rank, -F.col("size"), "id")).alias("b"))
+    return best.select("folder", "b.id", "b.extension", "b.size")
+
+
+def _tree(s, d):
+    return tree.folder_sizes(folders(s, d))
+
+
+def _contents(s, d):
+    return tree.folder_contents(tree.with_ancestors(folders(s, d)))
+
+
+def _scan_tree(s, d):
+    return tree.with_ancestors(folders(s, d))
+
+
+def _traverse(s, d):
+    return tree.traverse(tree.with_ancestors(folders(s, d))).select("path", "depth", F.array_join("walk", ">").alias("walk"))
+
+
+def _parents(s, d):
+    return tree.with_parent(tree.with_ancestors(folders(s, d))).select("path", "parent", "parent_size")
+
+
+def _orders(s, d):
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+
+
+def _pipe(s, d):
+    run = dataflow.Pipeline(lambda f: f.where("status <> 'F'"), lambda f: f.withColumn("double", F.col("pos") * 2)) | (lambda f: f.withColumn("part", F.explode(F.split("priority", "-"))))
+    return run(_orders(s, d)).select("pos", "double", "part")
+
+
+def _group(s, d):
+    return dataflow.group(_orders(s, d), "priority", "pos", ["customer", "status"])
+
+
+def _reduce(s, d):
+    return _orders(s, d).groupBy("status").agg(F.sum("pos").alias("total"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+def _chain(s, d):
+    base = dataflow.contexts(_orders(s, d), "pos").withColumns({"a": F.lit(None).cast("long"), "b": F.lit(None).cast("long")})
+    one = dataflow.stage("one", "a", F.col("input").cast("long") * 2, F.when(F.col("input").cast("long") % 3 == 0, "bad input"), fatal=True)
+    two = dataflow.stage("two", "b", F.col("a") + 1)
+    done = dataflow.chain_batch(base, [one, two], ["a", "b"])
+    return done.select("input", "a", "b", F.size("errors").alias("n_errors"))
+
+
+def _grep(s, d):
+    return dataflow.grep(table(s, d, "conversations"), ["conv_id", "turn"], "text", GREP)
+
+
+def _sectors(s, d):
+    rows = files(s, d).select(F.col("pos").alias("image"), F.col("content").cast("binary").alias("content"))
+    return codecs.sectors(rows, 256, 2, 9).select("image", "number", "track", "side", "sector", F.sha2("data", 256).alias("data_hash"))
+
+
+def _tracks(s, d):
+    return _sectors(s, d).groupBy("image", "track").agg(F.count("*").alias("sectors"), F.min("number").alias("first"), F.max("number").alias("last"))
+
+
+def _slices(s, d):
+    c = F.col("content").cast("binary")
+    cuts = {"magic": binary.magic(c), "header": binary.header(c), "tail": binary.tail(c), "range": binary.cut(c, 100, 50), "strict": binary.cut_strict(c, 100, 50)}
+    return files(s, d).select("pos", F.length(c).alias("size"), *[F.sha2(x, 256).alias(k) for k, x in cuts.items()])
+
+
+def _integers(s, d):
+    c = F.unhex("hash")
+    return files(s, d).select("pos", binary.unsigned(c, 0, 4).alias("be32"), binary.unsigned(c, 4, 4, little=True).alias("le32"), binary.unsigned(c, 8, 2).alias("be16"), F.timestamp_seconds(F.lit(946684800) + binary.unsigned(c, 0, 4) % 1000000).cast("long").alias("seconds"))
+
+
+def _readers(s, d):
+    rows = files(s, d).select("pos", F.rpad(F.col("content"), 400000, "x").cast("binary").alias("c"), (F.col("pos") % 7).alias("m")).where("m = 0")
+    found = binary.can_read(F.col("c"))
+    return rows.select("pos", *[x.alias(k) for k, x in found.items()])
+
+
+def _geometry(s, d):
+    sizes = table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 180).alias("sectors"))
+    g = binary.floppy_geometry(F.col("sectors"))
+    return sizes.select("id", "sectors", g.alias("g"), binary.raw_sector_size(F.col("sectors") * 128).alias("sector_size")).select("id", "sectors", "g.tracks", "g.heads", "g.sectors_per_track", "sector_size", (F.col("g.tracks") * F.col("g.heads") * F.col("g.sectors_per_track")).cast("long").alias("capacity"))
+
+
+def _versions(s, d):
+    text = F.concat((F.col("p_partkey") % 4).cast("string"), F.when(F.col("p_size") > 5, F.concat(F.lit("."), F.col("p_size").cast("string"))).otherwise(""), F.when(F.col("p_size") % 2 == 0, ".7").otherwise(""), F.when(F.col("p_size") % 3 == 0, "-beta").otherwise(""), F.when(F.col("p_size") % 5 == 0, "+b.1").otherwise(""))
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("id"), types.version(text).alias("v"))
+    later = types.version_key(F.col("v")) > F.struct(F.lit(1), F.lit(20), F.lit(0))
+    return rows.select("id", "v.major", "v.minor", "v.patch", "v.suffix", "v.build", types.version_text(F.col("v")).alias("text"), later.alias("later"))
+
+
+def _identifiers(s, d):
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % len(xs) + 1).cast("int"))
+    image, system, version = pick(("dmg", "iso-9660", "twomg", "apple-nib", "raw_img")), pick(("apple-dos-3.3", "prodos", "ucsd-pascal", None, "apple-ii-cpm", "fat_16", "apple-dos-x")), pick(("3.2", None, "v2", "1-0"))
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), types.image_identifier(image, system, version).alias("uti"))
+
+
+def _detect(s, d):
+    extension = F.element_at(F.array(*map(F.lit, ("dmg", "iso", "img", "vhd", "vmdk", "txt", "zip", "TGZ", "bas"))), (F.col("pos") % 9 + 1).cast("int"))
+    rows = files(s, d).select("pos", extension.alias("e"), types.detect_type(extension, F.col("content").cast("binary")).alias("t"), types.image_type(extension).alias("x"))
+    return rows.select("pos", F.col("t.type").alias("type"), F.col("t.content_type").alias("content_type"), F.col("x.type").alias("by_extension"), types.type_group(F.col("e")).alias("type_group"), types.codec(F.col("e")).alias("codec"))
+
+
+def _modes(s, d):
+    mode = F.col("p_partkey").cast("int") * 37
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), types.permissions(mode).alias("permissions"), types.parse_octal(types.permissions(mode)).alias("parsed"), types.device_kind(mode).alias("device"))
+
+
+def _locations(s, d):
+    rows = table(s, d, "supplier").select(F.col("s_name").alias("path"), F.element_at(F.array(*map(F.lit, ("secondary", "primary", "glacier", "mirror"))), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("type"), (F.col("s_acctbal") > 0).alias("present"), (F.col("s_suppkey") % 3 != 0).alias("writable"))
+    return rows.withColumn("priority", types.lookup(F.col("type"), dims.DEFAULT_PRIORITIES))
+
+
+def _embedded(s, d):
+    return store.embedded_offsets(files(s, d).select("pos", "size"), 1000).select("pos", "offset")
+
+
+def _lru(s, d):
+    cache = table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("path")).agg(F.max("event_id").alias("last_access"))
+    return store.evict(cache, 50)
+
+
+def _decompress(s, d):
+    import gzip
+
+    rows = files(s, d).select("path", F.when(F.col("pos") % 2 == 0, "gzip").otherwise("none").alias("codec"), F.col("content").cast("binary").alias("content"))
+
+    def pack(batches):
+        for b in batches:
+            b["content"] = [gzip.compress(c, 1) if k == "gzip" else c for k, c in zip(b["codec"], b["content"], strict=True)]
+            yield b
+
+    packed = rows.mapInPandas(pack, "path string, codec string, content binary")
+    return codecs.decompress(packed).select("path", F.sha2("content", 256).alias("hash"), "error")
+
+
+def _upsert(s, d):
+    events = table(s, d, "events").select("user_id", "event_id", "event_type", "value")
+    return ingest.latest(events, "user_id", ["event_id"], ["event_id", "event_type", "value"])
+
+
+def _postings(s, d):
+    return index.postings(meta(s, d), "content_type").groupBy("content_type").agg(F.count("*").alias("hashes"))
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "hash_registry": lambda s, d: store.registry(files(s, d)),
+        "first_occurrence": _first,
+        "archive_stats": _archive_stats,
+        "dedup_report": lambda s, d: store.dedup_report(files(s, d)),
+        "hash_hex": _hashes,
+        "hash_hex_named": _named,
+        "hash_identifier": lambda s, d: files(s, d).select("pos", hashing.identifier(F.col("content"), "sha1").alias("identifier")),
+        "crc32": _crc32,
+        "meta_merge": lambda s, d: flat(meta(s, d)),
+        "validate_archive": lambda s, d: store.validate(files(s, d), held(s, d)),
+        "join_validate_semi": lambda s, d: store.found(files(s, d).select("pos", "hash"), held(s, d)),
+        "join_validate_anti": _missing,
+        "chunk_exists_batch": lambda s, d: store.exists(files(s, d).select("pos", "hash"), held(s, d)),
+        "join_extract": _extract,
+        "extract_error_summary": _errors,
+        "join_mirror_coalesce": _mirror,
+        "join_hash_cache": _cached,
+        "cache_stats": lambda s, d: store.cache_stats(_cached(s, d)),
+        "validate_identifier": _identifier,
+        "validate_write": _validate_write,
+        "storage_path_git": _storage_path,
+        "path_to_identifier": _path_identifier,
+        "path_split": _path_parts,
+        "tree_navigate": _navigate,
+        "ignore_filter": _ignore,
+        "ignore_defaults": _ignore_defaults,
+        "query_by_path": lambda s, d: flat(index.by_path(meta(s, d), "src1/en/1.txt")),
+        "query_by_path_prefix": lambda s, d: index.by_path_prefix(meta(s, d), "src1/").select("hash", "path"),
+        "query_by_size_range": lambda s, d: flat(index.by_size(meta(s, d), 500, 1500)),
+        "query_by_content_type": lambda s, d: flat(index.by_content_type(meta(s, d), "de")),
+        "index_build": _postings,
+        "index_stats": lambda s, d: index.stats(meta(s, d)),
+        "search_image_metadata": _search,
+        "topk_main_image": _main_image,
+        "folder_size": _tree,
+        "folder_contents": _contents,
+        "scan_tree": _scan_tree,
+        "tree_traverse": _traverse,
+        "join_tree_parent": _parents,
+        "pipe_flatmap": _pipe,
+        "pipe_group": _group,
+        "pipe_reduce": _reduce,
+        "pipe_chain_batch": _chain,
+        "result_grep": _grep,
+        "result_listing": lambda s, d: files(s, d).select("path", "type", "size", "hash"),
+        "listing_totals": lambda s, d: files(s, d).agg(F.count_if(F.col("type") == "file").alias("files"), F.sum("size").cast("long").alias("size")),
+        "sector_addressing": _sectors,
+        "tracks_from_sectors": _tracks,
+        "chunk_read_range": _slices,
+        "be_u32": _integers,
+        "can_read": _readers,
+        "join_geometry": _geometry,
+        "version_parse": _versions,
+        "uti_image": _identifiers,
+        "detect_type": _detect,
+        "stat_permissions": _modes,
+        "available_locations": lambda s, d: index.available_locations(_locations(s, d)).select("path", "type", "priority"),
+        "mirror_plan": lambda s, d: index.mirror_plan(_locations(s, d)),
+        "embedded_offsets": _embedded,
+        "progress_running": lambda s, d: store.running_progress(files(s, d)),
+        "lru_order": _lru,
+        "decompress_gzip": _decompress,
+        "index_upsert": _upsert,
+    }
