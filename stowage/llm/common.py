@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ID_BITS = 25
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,14 +32,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stowage/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now; it does so when its driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of the hashed ids, ``2 ** ID_BITS`` bits whatever their number: it lets through every id and few others."""
+    at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << ID_BITS))
+    words = ids.select(at.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("b")).toArrow()
+    bitmap = np.zeros(1 << ID_BITS - 6, np.int64)
+    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
+    return bitmap
+
+
 def in_fold(doc_id: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's decimal text leaves ``remainder``; a null id is in no fold."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
-
-
-def parts(df: DataFrame, least: int = 12) -> int:
-    """Partitions for a shuffle: what the session asks for, but at least one for each input split."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())

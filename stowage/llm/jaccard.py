@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialize
+from stowage.llm.common import ID_BITS, id_filter, materialize
 from stowage.llm.components import components
 
 WORDS = 5
@@ -72,7 +72,10 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``words`` words."""
-    hashes = word_hashes(text)
+    return shingles_of(word_hashes(text), words)
+
+
+def shingles_of(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     n = min(words, len(hashes))
     if not n:
         return np.zeros(0, np.uint64)
@@ -230,40 +233,54 @@ def _meet(percent: int):
     return run
 
 
-def _verify(percent: int):
+def unpacked(words: int):
+    """Set from the packed words of a text: four bytes a word travel instead of eight a shingle."""
+    return lambda raw: shingles_of(np.frombuffer(raw, "<u4").astype(np.uint64), words)
+
+
+def _verify(words: int, percent: int):
+    """Pairs with the words of both texts in the row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = unpacked(words)
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = np.zeros(len(a), bool)
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = read(x), read(y)
                 common = len(x) + len(y) - len(np.union1d(x, y))
-                keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return run
 
 
-def _sets(docs: DataFrame, members: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(node, tokens): the whole sets of the needed nodes, read again from one text each."""
-    owners = members.join(needed, "node").select("doc_id", "node")
+def _sets(docs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
+    """``owners`` (doc_id, node and more) with the packed words of each node's first document, read again from its text.
+
+    A fixed-size filter on the ids keeps most other texts from being read into sets; a join leaves the owners alone.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(owners, "doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            right = [k for k, (f, node) in enumerate(zip(found, batch.column(0).to_pylist(), strict=True)) if len(f) and set_hash(f) == node]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), pa.array([found[k].tobytes() for k in right], pa.binary())], ["node", "tokens"])
+            h = batch.column(2).to_numpy()
+            asked = np.flatnonzero(bits.value[h >> 6] >> (h & 63) & 1)
+            found = [word_hashes(t) for t in batch.column(1).take(pa.array(asked)).to_pylist()]
+            right = [k for k, f in enumerate(found) if len(f)]
+            ids = batch.column(0).take(pa.array(asked)).take(pa.array(right, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([set_hash(shingles_of(found[k], words)) for k in right], pa.int64()), pa.array([(found[k] >> np.uint64(32)).astype("<u4").tobytes() for k in right], pa.binary())], ["doc_id", "node", "words"])
 
-    own = docs.join(owners, "doc_id").select("node", "text").mapInArrow(sets, "node long, tokens binary")
-    return materialize(own.dropDuplicates(["node"]), "jaccard-sets")
+    keyed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)).alias("h"))
+    return keyed.mapInArrow(sets, "doc_id long, node long, words binary").join(owners, ["doc_id", "node"])
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the threshold."""
     pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
-    own = _sets(docs, members, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), words)
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = materialize(_sets(docs, members.join(needed, "node").select("doc_id", "node"), words).select("node", "words"), "jaccard-words")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(words, percent), "a long, b long").distinct(), "jaccard-links")
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -285,14 +302,14 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _between(percent: int):
+def _between(words: int, percent: int):
     """Links of two blocks of a cluster: one for each node of the first and each other component of the second."""
 
     def run(table: pa.Table) -> pa.Table:
-        mine = table.column("mine").to_numpy()
+        mine, read = table.column("mine").to_numpy(), unpacked(words)
         first, second = table.filter(pa.array(mine)), table.filter(pa.array(~mine))
         a, b, component_a, component_b = first.column("node").to_numpy(), second.column("node").to_numpy(), first.column("component").to_numpy(), second.column("component").to_numpy()
-        x, y = ([np.frombuffer(t, np.uint64) for t in side.column("tokens").to_pylist()] for side in (first, second))
+        x, y = ([read(t) for t in side.column("words").to_pylist()] for side in (first, second))
         if not x or not y:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         common, size_x, size_y = overlaps(x, y), np.array(list(map(len, x))), np.array(list(map(len, y)))
@@ -320,12 +337,12 @@ def _across(runs: DataFrame, heads: DataFrame, found: DataFrame, docs: DataFrame
     if main.isEmpty():
         return None
     mixed = placed.join(main, "cluster")
-    held = mixed.join(_sets(docs, members, mixed.select("node"), words), "node")
+    held = mixed.join(_sets(docs, members.join(mixed.select("node"), "node").select("doc_id", "node"), words).select("node", "words"), "node")
     rows, columns = F.ceil((F.col("n") - F.col("most")) / BLOCK_NODES).cast("int"), F.ceil(F.col("n") / BLOCK_NODES).cast("int")
     spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    first = held.where("component <> main").select("cluster", spread(rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"), "node", "component", "tokens", F.lit(True).alias("mine"))
-    second = held.select("cluster", F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), spread(columns).alias("j"), "node", "component", "tokens", F.lit(False).alias("mine"))
-    met = first.union(second).groupBy("cluster", "i", "j").applyInArrow(_between(percent), "a long, b long")
+    first = held.where("component <> main").select("cluster", spread(rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"), "node", "component", "words", F.lit(True).alias("mine"))
+    second = held.select("cluster", F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), spread(columns).alias("j"), "node", "component", "words", F.lit(False).alias("mine"))
+    met = first.union(second).groupBy("cluster", "i", "j").applyInArrow(_between(words, percent), "a long, b long")
     return materialize(met, "jaccard-links")
 
 
@@ -360,7 +377,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     runs = materialize(runs.join(runs.groupBy("node").agg(F.count("*").alias("runs")), "node"), "jaccard-runs")
     heads = runs.groupBy("token").agg(F.max_by(F.struct("node", "size"), F.struct("runs", "node")).alias("head"))
     star = runs.join(heads, "token").where("node <> head.node").where(_sizes_fit("size", "head.size", percent)).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
-    links = _linked(sure.union(more).union(star).distinct(), docs, members, words, percent)
+    pairs = materialize(sure.union(more).union(star).distinct(), "jaccard-candidates")
+    # first one pair a node; of the others only those whose components still differ
+    links = _linked(pairs.groupBy("b").agg(F.min("a").alias("a")), docs, members, words, percent)
+    found = materialize(components(links), "jaccard-components")
+    side = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
+    apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+    rest = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(apart).select("a", "b")
+    links = links.union(_linked(rest, docs, members, words, percent)).distinct()
     found = materialize(components(links), "jaccard-components")
 
     more = _across(runs, heads, found, docs, members, words, percent)
