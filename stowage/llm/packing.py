@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ SENTENCE_PENALTY = 4.0  # padding tokens that a cut at a sentence end is worth
 HARD_PENALTY = 12.0  # the same for a cut inside a sentence
 HARD_STEP = 16  # step of the cuts inside a stretch without sentence ends
 HARD_GAP = 48  # longest stretch without such cuts
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
+ODD_CASE = "\u03a3\u0130"  # capitals whose lower case hangs on what is around them
 
 
 class WordIds(dict):
@@ -51,7 +53,14 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = self[word] = self.whole(word)
+        core = word.rstrip(".,!?;:")
+        if core and core != word and core[-1].isalpha():
+            ids = self[core] + self[word[len(core) :]]  # letters and punctuation are always apart
+        elif not (low := word).islower() and (low := word.lower()) != word and is_normalized("NFC", word) and not any(c in word for c in ODD_CASE):
+            ids = self[low]
+        else:
+            ids = self.whole(word)
+        self[word] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
