@@ -30,7 +30,7 @@ PATTERNS = {
 NEEDED = {"email": "@", "phone": "+"}  # a character that every match holds
 KINDS = tuple(PATTERNS)
 CONTEXT = "context"
-MENTION = r"(?<!\S)(\S{1,24})\s++(?=\S{0,79}[0-9])(\S{4,80})(?!\S)"
+MENTION = r"(?<!\S)(\S{1,24})\s++(?=\S{0,79}[0-9])(\+[0-9][\x20().0-9-]{4,40}[0-9]|\S{4,80})(?!\S)"
 
 ROUNDS = 3
 LEAST_SEEDS = 3  # distinct seed instances of a pattern that may be believed
@@ -85,7 +85,7 @@ def _mentions(text: Column) -> Column:
     """Array of (context, token, start, end): context words lower-cased without outer punctuation."""
 
     def mention(m):
-        token = F.regexp_extract(m["value"], r"(\S+)$", 1)
+        token = F.regexp_extract(m["value"], r"(?s)^\S+\s+(.*)$", 1)
         core = F.regexp_replace(token, r"^[^\p{L}0-9+]+|[^\p{L}0-9]+$", "")
         start = m["end"] - F.length(token) + F.length(F.regexp_extract(token, r"^[^\p{L}0-9+]+", 0))
         context = F.regexp_replace(F.lower(F.regexp_extract(m["value"], r"^(\S+)", 1)), r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
