@@ -145,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = SA
     rows = marked.where(train).count()
     share = int(min(1.0, sample_docs / max(rows, 1)) * 1_000_000)
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share
-    sample = own.where(drawn).join(marked.where(train & drawn), "doc_id").select("text", "y")
+    # about sample_docs label rows at most, so that no text is shuffled
+    sample = own.where(drawn).join(F.broadcast(marked.where(train & drawn)), "doc_id").select("text", "y")
     start = Grammar({w: 1.0 for w in INSULTS} | {w: 1.5 for w in THREATS})
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
