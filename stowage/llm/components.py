@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialize
+from stowage.llm.common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(edges, "links")
     state = _state(edges)
     while True:
-        edges = materialize(_star(_star(edges, True), False), "links")
+        former, edges = edges, materialize(_star(_star(edges, True), False), "links")
+        discard(former)
         new = _state(edges)
         if new == state:
             break

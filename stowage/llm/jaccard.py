@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import ID_BITS, id_filter, materialize
+from stowage.llm.common import ID_BITS, discard, id_filter, materialize
 from stowage.llm.components import components
 
 WORDS = 5
@@ -38,6 +38,7 @@ REPEATS = 4  # occurrences in a chunk from which a shingle is counted
 BUCKET_TOKENS = 2_000_000  # prefix tokens of a bucket, about
 FLUSH_TOKENS = 1 << 20
 CACHED_WORDS = 200_000
+HELD_SETS = 256  # unpacked sets that a verifying task keeps
 BLOCK_NODES = 1024  # nodes of a cluster compared at once
 COLUMNS = 4096  # shingles of an incidence matrix
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -244,10 +245,15 @@ def _verify(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = unpacked(words)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = read(x), read(y)
-                common = len(x) + len(y) - len(np.union1d(x, y))
+            keep, held = [], {}
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for node, raw in ((a, x), (b, y)):
+                    if node not in held:
+                        if len(held) >= HELD_SETS:
+                            held.clear()
+                        held[node] = read(raw)
+                x, y = (held[a] if a in held else read(x)), held[b]
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
@@ -280,7 +286,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, p
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     own = materialize(_sets(docs, members.join(needed, "node").select("doc_id", "node"), words).select("node", "words"), "jaccard-words")
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(words, percent), "a long, b long").distinct(), "jaccard-links")
+    links = materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(words, percent), "a long, b long").distinct(), "jaccard-links")
+    discard(own, pairs)
+    return links
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -378,6 +386,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     heads = runs.groupBy("token").agg(F.max_by(F.struct("node", "size"), F.struct("runs", "node")).alias("head"))
     star = runs.join(heads, "token").where("node <> head.node").where(_sizes_fit("size", "head.size", percent)).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
     pairs = materialize(sure.union(more).union(star).distinct(), "jaccard-candidates")
+    discard(met)
     # first one pair a node; of the others only those whose components still differ
     links = _linked(pairs.groupBy("b").agg(F.min("a").alias("a")), docs, members, words, percent)
     found = materialize(components(links), "jaccard-components")
