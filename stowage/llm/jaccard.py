@@ -39,7 +39,7 @@ BUCKET_TOKENS = 2_000_000  # prefix tokens of a bucket, about
 FLUSH_TOKENS = 1 << 20
 CACHED_WORDS = 200_000
 HELD_SETS = 256  # unpacked sets that a verifying task keeps
-BLOCK_NODES = 1024  # nodes of a cluster compared at once
+BLOCK_NODES = 2048  # nodes of a cluster compared at once
 COLUMNS = 4096  # shingles of an incidence matrix
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -345,13 +345,15 @@ def _across(runs: DataFrame, heads: DataFrame, found: DataFrame, docs: DataFrame
     if main.isEmpty():
         return None
     mixed = placed.join(main, "cluster")
-    held = mixed.join(_sets(docs, members.join(mixed.select("node"), "node").select("doc_id", "node"), words).select("node", "words"), "node")
+    held = materialize(mixed.join(_sets(docs, members.join(mixed.select("node"), "node").select("doc_id", "node"), words).select("node", "words"), "node"), "jaccard-held")
     rows, columns = F.ceil((F.col("n") - F.col("most")) / BLOCK_NODES).cast("int"), F.ceil(F.col("n") / BLOCK_NODES).cast("int")
     spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     first = held.where("component <> main").select("cluster", spread(rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"), "node", "component", "words", F.lit(True).alias("mine"))
     second = held.select("cluster", F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), spread(columns).alias("j"), "node", "component", "words", F.lit(False).alias("mine"))
     met = first.union(second).groupBy("cluster", "i", "j").applyInArrow(_between(words, percent), "a long, b long")
-    return materialize(met, "jaccard-links")
+    links = materialize(met, "jaccard-links")
+    discard(held)
+    return links
 
 
 def _sizes_fit(a: str, b: str, percent: int):
