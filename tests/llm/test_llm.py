@@ -125,6 +125,17 @@ def test_chain_prefers_ordered_segments():
     assert substrings.chain(segments)[0] in ([0, 2], [1])
 
 
+@pytest.mark.parametrize("gap", [50, 100, 150])
+def test_repeats_cuts_chains_across_different_words(spark, gap):
+    rng = random.Random(gap)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    head, foot = own(60), own(60)
+    texts = [" ".join([own(5), head, own(gap), foot, own(5)]) for _ in range(2)]
+    rows = substrings.repeats(frame(spark, texts)).collect()
+    at = [(5, 65), (65 + gap, 125 + gap)]
+    assert sorted((r["start"], r["end"], r["other_start"], r["other_end"], r["identity"]) for r in rows) == [(a, b, a, b, 1.0) for a, b in at]
+
+
 # ---- op2
 
 CASES = [None, "", "a@b.co@c.de x@y", "mail a.b+1@x-y.example.com.", "1.2.3.4.5.6.7.8 and 300.1.1.1 and 001.02.3.4", "card 4111 1111 1111 1111, 4111-1111-1111-1112", "+1 (446) 555-8962 x +12 +1234567 é +49.30.123456", "1" * 5000 + "." + "a." * 3000 + "a@" + "b." * 2000 + "c", "a@b.c_d@e.fg", "\U0001f600 x@y.zz \U0001f600"]
