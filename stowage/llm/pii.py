@@ -1,10 +1,11 @@
 """Personal data: exact base patterns, widened by bootstrapped contextual extraction. DataFrame functions only.
 
 Base kinds are found by regular expressions; spans come from the lengths of the text between matches. The bootstrap
-then looks at *mentions*: a word followed by an identifier-like token (with a digit). A mention's lexical pattern is its
+then looks at *mentions*: a word followed by an identifier-like token (with a digit or an at sign). A mention's lexical pattern is its
 context word and its instance the token. Mentions that touch a base span are seeds. Patterns and
 instances form a bipartite graph that Spark scores in rounds: a pattern is as good as the share of its distinct instances that
-are believed, an instance as its best pattern; instances of high-confidence patterns become spans of kind ``context``.
+are believed, an instance as its best pattern; instances of high-confidence patterns become spans of kind ``context``. Every round
+judges all patterns anew, so instances found in one round support patterns in the next.
 
 The expressions start only where a run of their first class starts or the last match ended, and repeat
 possessively, so a long run of digits or letters costs linear time and no stack.
@@ -30,10 +31,10 @@ PATTERNS = {
 NEEDED = {"email": "@", "phone": "+"}  # a character that every match holds
 KINDS = tuple(PATTERNS)
 CONTEXT = "context"
-MENTION = r"(?<!\S)(\S{1,24})\s++(?=\S{0,79}[0-9])(\+[0-9][\x20().0-9-]{4,40}[0-9]|\S{4,80})(?!\S)"
+MENTION = r"(?<!\S)(\S{1,24})\s++(?=\S{0,79}[0-9@])(\+[0-9][\x20().0-9-]{4,40}[0-9]|\S{4,80})(?!\S)"
 
 ROUNDS = 3
-LEAST_SEEDS = 3  # distinct seed instances of a pattern that may be believed
+LEAST_SEEDS = 3  # believed distinct instances, summed, of a pattern that may be believed
 CONFIDENCE = 0.8
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
@@ -98,21 +99,26 @@ def _mentions(text: Column) -> Column:
 def believed_contexts(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Contexts that the pattern-instance graph gives high confidence; ``mentions`` has context, token and seed."""
     edges = materialize(mentions.groupBy("context", "token").agg(F.max("seed").alias("seed")), "pii-graph")
-    support = edges.groupBy("context").agg(F.sum(F.col("seed").cast("int")).alias("seeds"))
-    edges = edges.join(support.where(F.col("seeds") >= LEAST_SEEDS).select("context"), "context")
-    belief = edges.withColumn("belief", F.col("seed").cast("double"))
+    # no belief is above 1: fewer instances than LEAST_SEEDS never support their context, whatever is believed
+    enough = edges.groupBy("context").count().where(F.col("count") >= LEAST_SEEDS).select("context")
+    edges = materialize(edges.join(enough, "context").select("context", "token", F.col("seed").cast("double").alias("seed")), "pii-edges")
+
+    def judged(belief):
+        patterns = belief.groupBy("context").agg(F.sum("belief").alias("support"), F.count("*").alias("n"))
+        confidence = F.col("support") / (F.col("n") + 1)
+        return patterns.where((F.col("support") >= LEAST_SEEDS) & (confidence >= CONFIDENCE)).select("context", confidence.alias("confidence"))
+
+    belief = edges.withColumn("belief", F.col("seed"))
     for _ in range(rounds):
-        patterns = belief.groupBy("context").agg((F.sum("belief") / (F.count("*") + 1)).alias("confidence"))
-        scored = edges.join(patterns, "context")
-        instances = scored.groupBy("token").agg(F.max(F.when(F.col("confidence") >= CONFIDENCE, F.col("confidence")).otherwise(0.0)).alias("best"))
-        belief = materialize(edges.join(instances, "token").select("context", "token", "seed", F.greatest(F.col("seed").cast("double"), "best").alias("belief")), "pii-belief")
-    return belief.groupBy("context").agg((F.sum("belief") / (F.count("*") + 1)).alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
+        instances = edges.join(judged(belief), "context").groupBy("token").agg(F.max("confidence").alias("best"))
+        belief = materialize(edges.join(instances, "token", "left").select("context", "token", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("belief")), "pii-belief")
+    return judged(belief)
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text_hash, spans): spans by kind as listed, then start; one row for each row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).select("doc_id", F.sha2("text", 256).alias("text_hash"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS], F.when(F.col("text").rlike("[0-9]"), _mentions(F.col("text"))).otherwise(F.array().cast("array<struct<context:string,token:string,start:int,end:int>>")).alias("mentions"))
+    rows = docs.select("doc_id", text.alias("text")).select("doc_id", F.sha2("text", 256).alias("text_hash"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS], F.when(F.col("text").rlike("[0-9@]"), _mentions(F.col("text"))).otherwise(F.array().cast("array<struct<context:string,token:string,start:int,end:int>>")).alias("mentions"))
     rows = materialize(rows.select("doc_id", "text_hash", F.concat(*KINDS).alias("spans"), "mentions"), "pii-rows")
     touches = F.exists("spans", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start")))
     exploded = rows.where(F.size("mentions") > 0).select("doc_id", "text_hash", "spans", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.context", "m.token", "m.start", "m.end", touches.alias("seed"))

@@ -172,6 +172,20 @@ def test_pii_bootstraps_contexts(spark):
     assert "context:12:23" in rows[12] and rows[13] == "" and rows[14] == ""
 
 
+def test_pii_discovered_instances_support_new_contexts(spark):
+    tokens = [f"id-{k}-77" for k in range(20)]
+    edges = [("call", f"+1 446 555-{k}", True) for k in range(1000, 1500)] + [("call", t, False) for t in tokens]
+    edges += [("ring", t, False) for t in [*tokens, "zz-1-1"]] + [("year", f"19{k}", False) for k in range(10)] + [("page", tokens[0], False)]
+    mentions = spark.createDataFrame(edges, "context string, token string, seed boolean")
+    assert {r["context"] for r in pii.believed_contexts(mentions).collect()} == {"call", "ring"}
+
+
+def test_pii_seeds_from_addresses_without_digits(spark):
+    texts = [f"mailbox {c}x@example.com today" for c in "abcdefghijkl"] + ["mailbox id-77-99 today"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.summary(pii.find(frame(spark, texts))).collect()}
+    assert rows[0] == "email:8:22" and rows[12] == "context:8:16"
+
+
 def test_redact_keeps_rows_and_columns(spark):
     docs = frame(spark, [*CASES[:7], "mail a@b.cc now", "mail a@b.cc now"])
     out = pii.redact(docs)
