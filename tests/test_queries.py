@@ -37,3 +37,13 @@ def test_same_rows(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_has_rows(spark, name):
     assert registry.queries()[name](spark, DATA).count() > 0
+
+
+def test_can_read_judges_every_whole_document(spark, tmp_path):
+    trailer = lambda magic: "a" * 500_000 + magic + "b" * (512 - len(magic))
+    image = "c" * 32768
+    texts = [None, "", "koly", trailer("koly"), trailer("conectix"), image + "\x01CD001" + "d" * 3000, "e" * 360 * 1024, "f" * (64 * 1024), "g" * (64 * 1024 - 1)]
+    expected = [set(), set(), set(), {"dmg", "raw"}, {"vhd", "raw"}, {"iso"}, {"img", "raw"}, {"raw"}, set()]
+    spark.createDataFrame([(k, t, "en", "src0") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.queries()["can_read"](spark, str(tmp_path)).collect()
+    assert {r["pos"]: {k for k in ("dmg", "iso", "vhd", "img", "raw") if r[k]} for r in rows} == dict(enumerate(expected))
