@@ -8,8 +8,11 @@ candidate only if its prefixes meet under all three; candidates are verified on
 Equal sets are one node: only one document of a set and input split sends its prefixes, and membership is joined back.
 Prefix entries travel in packed blocks keyed by order and bucket, four bytes a token. A bucket emits all pairs
 of a token that at most ``SMALL_RUN`` nodes share. A larger run first offers each node the run's head, the node that is in
-most large runs; when those links are verified and merged, only nodes of different components still meet: those outside
-the main component of a cluster of runs against all its nodes, in blocks compared as incidence matrices. So no group emits its square, and no link between components is lost.
+most large runs; when those links are verified and merged, the run's nodes of different components still meet, in blocks. So no
+group emits its square, and no link between components is lost.
+
+Before sets travel, every candidate is tried on sketches of parities, whose difference bounds the sets' difference from below: it
+never rules out a link. What remains passes the other orders' filters, and is verified on the whole sets.
 
 Defined cases: a text without words, or null, has the empty set and its own component; fewer words than a shingle make one
 shingle of all; repeated rows are each returned; a null doc_id has component null unless a copy has one; other columns
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm.common import ID_BITS, discard, id_filter, materialize
 from stowage.llm.components import components
+from stowage.llm.strings import mix, word_hashes_all
 
 WORDS = 5
 ORDERS = 3
@@ -37,38 +41,15 @@ CHUNK = 1 << 22  # shingles counted at once for that list
 REPEATS = 4  # occurrences in a chunk from which a shingle is counted
 BUCKET_TOKENS = 2_000_000  # prefix tokens of a bucket, about
 FLUSH_TOKENS = 1 << 20
-CACHED_WORDS = 200_000
 HELD_SETS = 256  # unpacked sets that a verifying task keeps
 BLOCK_NODES = 2048  # nodes of a cluster compared at once
-COLUMNS = 4096  # shingles of an incidence matrix
+GROUP_ROWS = 20_000  # members of small runs handled together
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
-def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Bijective scrambling of 64-bit numbers."""
-    x = x ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words, split at ASCII white space with A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return word_hashes_all([text])[0]
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -92,6 +73,39 @@ def set_hash(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes(), seed=len(found)) - (1 << 63)
 
 
+def hashed(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Word hashes of each text, some hundred texts at a time."""
+    for k in range(0, len(texts), 512):
+        yield from word_hashes_all(texts.slice(k, 512).to_pylist())
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of how many of the set's shingles fall on each of twice as many bits (a power of two).
+
+    Two sets differ in at least as many shingles as their sketches, folded to one length, differ in bits.
+    """
+    bits = max(64, 1 << (2 * len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(value: int, bits: int) -> int:
+    """The sketch of the same set over half as many bits."""
+    return (value >> (bits // 2)) ^ (value & ((1 << (bits // 2)) - 1))
+
+
+def may_link(x: bytes, y: bytes, size_x: int, size_y: int, percent: int) -> bool:
+    """Whether sets with these sketches can reach the threshold."""
+    if min(size_x, size_y) * 100 < max(size_x, size_y) * percent:
+        return False
+    if len(x) < len(y):
+        x, y = y, x
+    u, v, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        u, bits = folded(u, bits), bits // 2
+    return (u ^ v).bit_count() * (100 + percent) <= (size_x + size_y) * (100 - percent)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
@@ -107,32 +121,34 @@ def _survey(words: int):
             keep = counts >= REPEATS
             return tokens[keep].view(np.int64), counts[keep]
 
-        def block(ids, sizes, sets, tokens, counts):
+        def block(ids, sizes, sets, sketches, tokens, counts):
             n, m = len(ids), len(tokens)
             none = [None] * n
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids + [None] * m, pa.int64()), pa.array(sizes + [None] * m, pa.int64()), pa.array(sets + [None] * m, pa.int64()), pa.array(none + tokens, pa.int64()), pa.array(none + counts, pa.int64())],
-                ["doc_id", "n_shingles", "node", "token", "n"],
+                [pa.array(ids + [None] * m, pa.int64()), pa.array(sizes + [None] * m, pa.int64()), pa.array(sets + [None] * m, pa.int64()), pa.array(sketches + [None] * m, pa.binary()), pa.array(none + tokens, pa.int64()), pa.array(none + counts, pa.int64())],
+                ["doc_id", "n_shingles", "node", "sketch", "token", "n"],
             )
 
         for batch in batches:
             ids, sizes, sets = batch.column(0).to_pylist(), [], []
-            for text in batch.column(1).to_pylist():
-                found = shingles(text, words)
+            sketches: list = [None] * len(ids)
+            for k, hashes in enumerate(hashed(batch.column(1))):
+                found = shingles_of(hashes, words)
                 sizes.append(len(found))
                 sets.append(set_hash(found) if len(found) else None)
                 if len(found) and sets[-1] not in seen:
                     seen.add(sets[-1])
+                    sketches[k] = sketch(found)
                     held.append(found)
                     size += len(found)
                     if size >= CHUNK:
                         tokens, counts = repeated()
-                        yield block([], [], [], tokens.tolist(), counts.tolist())
+                        yield block([], [], [], [], tokens.tolist(), counts.tolist())
                         held, size = [], 0
-            yield block(ids, sizes, sets, [], [])
+            yield block(ids, sizes, sets, sketches, [], [])
         if held:
             tokens, counts = repeated()
-            yield block([], [], [], tokens.tolist(), counts.tolist())
+            yield block([], [], [], [], tokens.tolist(), counts.tolist())
 
     return run
 
@@ -164,8 +180,8 @@ def _prefixes(words: int, percent: int, buckets: int, frequent):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["ord", "bucket", "nodes", "sizes", "counts", "tokens"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, words)
+            for hashes in hashed(batch.column(0)):
+                found = shingles_of(hashes, words)
                 if not len(found) or (node := set_hash(found)) in seen:
                     continue
                 seen.add(node)
@@ -271,7 +287,7 @@ def _sets(docs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             h = batch.column(2).to_numpy()
             asked = np.flatnonzero(bits.value[h >> 6] >> (h & 63) & 1)
-            found = [word_hashes(t) for t in batch.column(1).take(pa.array(asked)).to_pylist()]
+            found = word_hashes_all(batch.column(1).take(pa.array(asked, pa.int64())).to_pylist())
             right = [k for k, f in enumerate(found) if len(f)]
             ids = batch.column(0).take(pa.array(asked)).take(pa.array(right, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([set_hash(shingles_of(found[k], words)) for k in right], pa.int64()), pa.array([(found[k] >> np.uint64(32)).astype("<u4").tobytes() for k in right], pa.binary())], ["doc_id", "node", "words"])
@@ -280,8 +296,22 @@ def _sets(docs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
     return keyed.mapInArrow(sets, "doc_id long, node long, words binary").join(owners, ["doc_id", "node"])
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold."""
+def _near(percent: int):
+    """Pairs whose sketches do not rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(x, y, n, m, percent) for x, y, n, m in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    return run
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, sketches: DataFrame | None, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets reach the threshold; sketches rule most others out before sets travel."""
+    if sketches is not None:
+        side = lambda s, x: sketches.select(F.col("node").alias(s), F.col("sketch").alias(x), F.col("size").alias(f"n_{x}"))
+        pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(_near(percent), "a long, b long")
     pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     own = materialize(_sets(docs, members.join(needed, "node").select("doc_id", "node"), words).select("node", "words"), "jaccard-words")
@@ -291,69 +321,60 @@ def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, p
     return links
 
 
-def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sets ``x`` with the sets ``y``, by products of incidence matrices."""
-    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
-    shared = np.intersect1d(flat_x, flat_y)
-    of_x, of_y = np.repeat(np.arange(len(x)), list(map(len, x))), np.repeat(np.arange(len(y)), list(map(len, y)))
-    total = np.zeros((len(x), len(y)), np.float32)
-    for k in range(0, len(shared), COLUMNS):
-        part = shared[k : k + COLUMNS]
-        sides = []
-        for flat, of, n in ((flat_x, of_x, len(x)), (flat_y, of_y, len(y))):
-            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
-            hit = part[at] == flat
-            side = np.zeros((n, len(part)), np.float32)
-            side[of[hit], at[hit]] = 1
-            sides.append(side)
-        total += sides[0] @ sides[1].T
-    return total
-
-
-def _between(words: int, percent: int):
-    """Links of two blocks of a cluster: one for each node of the first and each other component of the second."""
+def _between(percent: int):
+    """Pairs of one run, or of two blocks of it, that lie in different components and may link by their sketches."""
+
+    def pairs_of(rows: list[tuple], out: dict) -> None:
+        # (node, size, component, sketch, in the first block, in the second)
+        found = []
+        for node, size, component, raw, first, second in sorted(rows, key=lambda r: r[1]):
+            bits = 8 * len(raw)
+            value = int.from_bytes(raw, "little")
+            found.append((node, size, component, bits, value, folded(value, bits), first, second))
+        for k, (a, n, component, bits, value, _, first, second) in enumerate(found):
+            most = n * 100 // percent
+            for b, m, other, bits_b, value_b, half_b, first_b, second_b in found[k + 1 :]:
+                if m > most:
+                    break
+                if component == other or not (first and second_b or second and first_b):
+                    continue
+                far = (value ^ (value_b if bits == bits_b else half_b)).bit_count()
+                if far * (100 + percent) <= (n + m) * (100 - percent):
+                    out[(a, b) if a < b else (b, a)] = far
 
     def run(table: pa.Table) -> pa.Table:
-        mine, read = table.column("mine").to_numpy(), unpacked(words)
-        first, second = table.filter(pa.array(mine)), table.filter(pa.array(~mine))
-        a, b, component_a, component_b = first.column("node").to_numpy(), second.column("node").to_numpy(), first.column("component").to_numpy(), second.column("component").to_numpy()
-        x, y = ([read(t) for t in side.column("words").to_pylist()] for side in (first, second))
-        if not x or not y:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        common, size_x, size_y = overlaps(x, y), np.array(list(map(len, x))), np.array(list(map(len, y)))
-        link = (100 * common >= percent * (size_x[:, None] + size_y[None, :] - common)) & (component_a[:, None] != component_b[None, :])
-        i, j = np.nonzero(link)
-        _, at = np.unique(np.stack([i, component_b[j]], axis=1), axis=0, return_index=True)
-        return pa.table({"a": pa.array(a[i[at]]), "b": pa.array(b[j[at]])})
+        rows, out = {}, {}
+        for token, *row in zip(*(table.column(c).to_pylist() for c in ("token", "node", "size", "component", "sketch", "first", "second")), strict=True):
+            rows.setdefault(token, []).append(row)
+        for own in rows.values():
+            pairs_of(own, out)
+        return pa.table({"a": pa.array([k[0] for k in out], pa.int64()), "b": pa.array([k[1] for k in out], pa.int64()), "far": pa.array(out.values(), pa.int64())})
 
     return run
 
 
-def _across(runs: DataFrame, heads: DataFrame, found: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Links between the components of large runs' nodes.
+def _across(runs: DataFrame, found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, far) of large runs' nodes that lie in different components and may link by size and sketch.
 
-    Nodes that large runs tie together form a cluster. In each, the nodes outside its main component meet all its nodes, block by
-    block; the blocks' sets are compared as matrices, and only links leave them.
+    In each run the nodes outside its main component meet all its nodes. Runs of more than BLOCK_NODES are dealt out in blocks, of
+    which a node enters as many as the other side has.
     """
-    ties = runs.join(heads, "token").select(F.col("node").alias("a"), F.col("head.node").alias("b"))
-    cluster = components(ties)
-    alone = ties.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    cluster = cluster.union(alone.join(cluster, "node", "left_anti")).withColumnRenamed("component", "cluster")
-    placed = materialize(cluster.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-placed")
-    share = placed.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = share.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("most")).where("k > 1")
-    if main.isEmpty():
-        return None
-    mixed = placed.join(main, "cluster")
-    held = materialize(mixed.join(_sets(docs, members.join(mixed.select("node"), "node").select("doc_id", "node"), words).select("node", "words"), "node"), "jaccard-held")
-    rows, columns = F.ceil((F.col("n") - F.col("most")) / BLOCK_NODES).cast("int"), F.ceil(F.col("n") / BLOCK_NODES).cast("int")
-    spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    first = held.where("component <> main").select("cluster", spread(rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"), "node", "component", "words", F.lit(True).alias("mine"))
-    second = held.select("cluster", F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), spread(columns).alias("j"), "node", "component", "words", F.lit(False).alias("mine"))
-    met = first.union(second).groupBy("cluster", "i", "j").applyInArrow(_between(words, percent), "a long, b long")
-    links = materialize(met, "jaccard-links")
-    discard(held)
-    return links
+    placed = runs.join(found, "node", "left").select("token", "node", "size", F.coalesce("component", "node").alias("component"))
+    share = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
+    shape = share.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("most")).where("k > 1")
+    outside = F.ceil((F.col("n") - F.col("most")) / BLOCK_NODES).cast("int")
+    mixed = placed.join(shape.select("token", "main", outside.alias("rows"), F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("columns")), "token").join(sketches.select("node", "sketch"), "node")
+    mixed = materialize(mixed, "jaccard-mixed")
+    buckets = 1 + mixed.count() // GROUP_ROWS
+    keys = ["token", "node", "size", "component", "sketch"]
+    small = mixed.where(F.col("columns") == 1).select(F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), *keys, (F.col("component") != F.col("main")).alias("first"), F.lit(True).alias("second"))
+    large, spread = mixed.where(F.col("columns") > 1), lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    first = large.where("component <> main").select(F.col("token").alias("bucket"), spread(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), *keys, F.lit(True).alias("first"), F.lit(False).alias("second"))
+    second = large.select(F.col("token").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), spread(F.col("columns")).alias("j"), *keys, F.lit(False).alias("first"), F.lit(True).alias("second"))
+    met = small.union(first).union(second).groupBy("bucket", "i", "j").applyInArrow(_between(percent), "a long, b long, far long")
+    pairs = materialize(met.groupBy("a", "b").agg(F.min("far").alias("far")), "jaccard-cross")
+    discard(mixed)
+    return pairs
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -364,7 +385,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id): documents link when 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    survey = materialize(docs.mapInArrow(_survey(words), "doc_id long, n_shingles long, node long, token long, n long"), "jaccard-survey")
+    survey = materialize(docs.mapInArrow(_survey(words), "doc_id long, n_shingles long, node long, sketch binary, token long, n long"), "jaccard-survey")
     sets = survey.where("n_shingles is not null")
     members = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
     top = survey.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
@@ -388,19 +409,32 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     heads = runs.groupBy("token").agg(F.max_by(F.struct("node", "size"), F.struct("runs", "node")).alias("head"))
     star = runs.join(heads, "token").where("node <> head.node").where(_sizes_fit("size", "head.size", percent)).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
     pairs = materialize(sure.union(more).union(star).distinct(), "jaccard-candidates")
-    discard(met)
+    sketches = materialize(sets.where("sketch is not null").select("node", "sketch", F.col("n_shingles").alias("size")).dropDuplicates(["node"]), "jaccard-sketches")
     # first one pair a node; of the others only those whose components still differ
-    links = _linked(pairs.groupBy("b").agg(F.min("a").alias("a")), docs, members, words, percent)
+    links = _linked(pairs.groupBy("b").agg(F.min("a").alias("a")), docs, members, sketches, words, percent)
     found = materialize(components(links), "jaccard-components")
-    side = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
-    apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-    rest = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(apart).select("a", "b")
-    links = links.union(_linked(rest, docs, members, words, percent)).distinct()
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        side = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
+        named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return named.withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")}).where("of_a <> of_b")
+
+    links = links.union(_linked(apart(pairs).select("a", "b"), docs, members, sketches, words, percent)).distinct()
     found = materialize(components(links), "jaccard-components")
 
-    more = _across(runs, heads, found, docs, members, words, percent)
-    if more is not None:
-        found = materialize(components(links.union(more)), "jaccard-components")
+    cross = _across(runs, found, sketches, percent)
+    small = met.where("bits > 0").groupBy("a", "b").agg(F.expr("bit_or(bits)").alias("bits"))
+    held = lambda s: hot.select(F.col("node").alias(s), F.col("held").alias(f"held_{s}"))
+    seen = F.coalesce("bits", F.lit(0)).bitwiseOR(F.lit(1)).bitwiseOR(F.coalesce(F.col("held_a").bitwiseAND(F.col("held_b")), F.lit(0)))
+    cross = materialize(cross.join(small, ["a", "b"], "left").join(held("a"), "a", "left").join(held("b"), "b", "left").where(seen == ALL).select("a", "b", "far"), "jaccard-leftover")
+    # the nearest pair of each node and component first
+    nearest = apart(cross).groupBy("a", "of_b").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select("a", "b")
+    for chosen in (nearest, None):
+        left = chosen if chosen is not None else apart(cross).select("a", "b")
+        more = _linked(left, docs, members, None, words, percent)
+        links = links.union(more)
+        found = materialize(components(links), "jaccard-components")
+    discard(met)
 
     least = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -69,3 +69,35 @@ def pieces_of(text: bytes, most: int) -> list[bytes]:
         at = cut
     out.append(text[at:])
     return out
+
+
+CHUNK_BYTES = 1 << 21
+
+
+def word_hashes_all(texts: list[str | None]) -> list[np.ndarray]:
+    """Hashes of each text's words: A-Z lower-cased, split at ASCII white space. Long texts are read in parts."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    raw, group, held = [], [], 0
+
+    def flush() -> None:
+        nonlocal raw, group, held
+        flat = LOWER[np.frombuffer(b"\n".join(raw), np.uint8)]
+        starts, sizes = words(flat)
+        hashes = run_hashes(flat, starts, sizes)
+        ends = np.searchsorted(starts, np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))).tolist()
+        begin = 0
+        for k, end in zip(group, ends, strict=True):
+            out[k].append(hashes[begin:end])
+            begin = end
+        raw, group, held = [], [], 0
+
+    for k, text in enumerate(texts):
+        for part in pieces_of((text or "").encode("utf-8", "surrogatepass"), CHUNK_BYTES):
+            raw.append(part)
+            group.append(k)
+            held += len(part)
+            if held >= CHUNK_BYTES:
+                flush()
+    if raw:
+        flush()
+    return [p[0] if len(p) == 1 else np.concatenate(p) for p in out]

@@ -105,7 +105,7 @@ def test_repeats_finds_every_shared_passage(spark, mixed):
         for p in range(len(w) - 49):
             grams.setdefault(tuple(w[p : p + 50]), set()).add(k)
     must = {k for own in grams.values() if len(own) > 1 for k in own}
-    assert must <= {x for r in rows for x in (r["doc_id"], r["other_id"])}
+    assert must <= {r["doc_id"] for r in rows}
     for r in rows:
         a, b = words[r["doc_id"]][r["start"] : r["end"]], words[r["other_id"]][r["other_start"] : r["other_end"]]
         assert min(len(a), len(b)) >= 50 and r["doc_id"] != r["other_id"]
@@ -133,7 +133,7 @@ def test_repeats_cuts_chains_across_different_words(spark, gap):
     texts = [" ".join([own(5), head, own(gap), foot, own(5)]) for _ in range(2)]
     rows = substrings.repeats(frame(spark, texts)).collect()
     at = [(5, 65), (65 + gap, 125 + gap)]
-    assert sorted((r["start"], r["end"], r["other_start"], r["other_end"], r["identity"]) for r in rows) == [(a, b, a, b, 1.0) for a, b in at]
+    assert sorted((r["doc_id"], r["start"], r["end"], r["other_start"], r["other_end"], r["identity"]) for r in rows) == [(d, a, b, a, b, 1.0) for d in (0, 1) for a, b in at]
 
 
 # ---- op2
@@ -437,3 +437,57 @@ def test_pipeline(spark):
             assert not gone and all(not brute_spans(t) for t in after.values())
     pieces = corpus_pipeline.run(spark, DATA)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(after)
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+        n = int(rng.integers(1, 200))
+        x = np.unique(pool[:n])
+        y = np.unique(np.concatenate([x[int(rng.integers(0, 1 + n // 4)) :], pool[300 : 300 + int(rng.integers(0, 1 + n // 3))]]))
+        if not len(y):
+            continue
+        common = len(np.intersect1d(x, y))
+        if 100 * common >= 75 * (len(x) + len(y) - common):
+            assert jaccard.may_link(jaccard.sketch(x), jaccard.sketch(y), len(x), len(y), 75)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 40])
+def test_jaccard_runs_in_blocks(spark, monkeypatch, n):
+    """Runs above the block size meet in blocks; documents outside the main group find the partner they have."""
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 8)
+    rng = random.Random(n)
+    base = prose(60, rng).split()
+    texts = []
+    for _ in range(40):
+        own = list(base)
+        own[rng.randrange(60)] = "x" + str(rng.randrange(10**6))
+        texts.append(" ".join(own))
+    for k in range(n):
+        own = list(base)
+        for at in rng.sample(range(60), 4 + k % 6):
+            own[at] = "y" + str(rng.randrange(10**6))
+        texts.append(" ".join(own))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == [c for _, c in brute_components(texts)]
+
+
+@pytest.mark.parametrize("capital", ["İ", "Σ", "İ̇"])
+def test_word_ids_equal_the_tokeniser(capital):
+    rng, table = random.Random(ord(capital[0])), packing.word_ids(queries.tokenizer_path())
+    alphabet = ["a", "b", "Z", "é", "É", "ß", "ñ", "×", capital, "̇", "́", "1", "2", ".", ",", "'", "'s", ";", "-", " ", "  ", "\n", "\t", "\x00", "\x1c", "\x85", " ", " ", "<", "|", ">"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 16))) for _ in range(4000)]
+    assert [x.tolist() for x in table.encode_all(texts)] == [table.whole(t).tolist() for t in texts]
+
+
+def test_edits_equal_the_table():
+    rng = random.Random(2)
+    for _ in range(400):
+        x, y = ([rng.randrange(3) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, u in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, v in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (u != v))
+        assert substrings._edits(np.array(x), np.array(y), 99) == row[-1]
