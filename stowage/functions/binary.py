@@ -41,6 +41,12 @@ def unsigned(content: Column, offset: int, width: int, little: bool = False) ->
     return F.when(F.length(content) >= offset + width, reduce(lambda acc, c: acc * 256 + c, codes))
 
 
+def unsigned_64(content: Column, offset: int, little: bool = False) -> Column:
+    """Unsigned integer of eight bytes, as a decimal."""
+    high, low = (unsigned(content, offset + k, 4, little).cast("decimal(20,0)") for k in ((4, 0) if little else (0, 4)))
+    return (high * F.lit(1 << 32).cast("decimal(10,0)") + low).cast("decimal(20,0)")
+
+
 def matches_magic(content: Column, offset: int, expected: bytes, mask: list[int] | None = None) -> Column:
     """Bytes at ``offset`` equal; a mask of the same length says which of them count. Empty magic matches nothing."""
     if not expected or (mask is not None and len(mask) != len(expected)):

@@ -107,3 +107,16 @@ def ancestors(path: Column) -> Column:
     """All proper ancestor folders of a relative path, the root as ''."""
     items = F.split(path, "/")
     return F.transform(F.sequence(F.lit(0), F.size(items) - 1), lambda n: F.array_join(F.slice(items, F.lit(1), n), "/"))
+
+
+def relative(path: Column, base: Column, prefix: str = "") -> Column:
+    """``path`` seen from the folder ``base``, below ``prefix``; null outside it. Compared part by part."""
+    whole, root = parts(normalize(path)), parts(normalize(base))
+    inside = F.slice(whole, F.lit(1), F.size(root)) == root
+    rest = F.array_join(F.slice(whole, F.size(root) + 1, F.size(whole)), "/")
+    return F.when(inside, F.concat_ws("/", F.nullif(F.lit(prefix), F.lit("")), F.nullif(rest, F.lit(""))))
+
+
+def ignored_below(path: Column, base: Column, patterns) -> Column:
+    """Whether the path, seen from ``base``, is ignored; paths outside are judged as they are."""
+    return ignored(F.coalesce(relative(path, base), path), patterns)

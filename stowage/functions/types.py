@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stowage.dims import CATEGORY_GROUPS, CODEC_EXTENSIONS, DEVICE_KINDS, IMAGE_TYPES, TYPE_GROUPS
+from stowage.dims import CATEGORY_GROUPS, CODEC_EXTENSIONS, DEVICE_KINDS, IMAGE_TYPES, TYPE_GROUPS, ZIP_NAMES
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
     """Value of a small fixed table."""
     found = F.lit(default)
-    for k, v in table.items():
+    for k, v in reversed(table.items()):
         found = F.when(key == F.lit(k), F.lit(v)).otherwise(found)
     return found
 
@@ -69,7 +69,11 @@ def detect_type(extension: Column, content: Column) -> Column:
 
 
 def type_group(extension: Column) -> Column:
-    return lookup(F.lower(extension), {e: g for g, es in TYPE_GROUPS.items() for e in es}, "unknown")
+    table: dict[str, str] = {}
+    for group, extensions in TYPE_GROUPS.items():
+        for e in extensions:
+            table.setdefault(e, group)
+    return lookup(F.lower(extension), table, "unknown")
 
 
 def category_group(category: Column) -> Column:
@@ -96,3 +100,56 @@ def address(*lines: Column) -> Column:
     """Street lines, then city, state and zip joined by commas; empty parts are left out."""
     *head, city, state, code = (F.nullif(F.trim(x), F.lit("")) for x in lines)
     return F.concat_ws("\n", *head, F.nullif(F.concat_ws(", ", city, state, code), F.lit("")))
+
+
+def version_or(text: Column, default: str) -> Column:
+    """The version, or the default where the text is none."""
+    return F.coalesce(version(text), version(F.lit(default)))
+
+
+def type_version(text: Column) -> Column:
+    """struct(major, minor, patch) of ``x.y`` or ``x.y.z``, null of anything else; structs of three numbers compare in order."""
+    part = lambda k: F.regexp_extract(text, r"^([0-9]+)\.([0-9]+)(?:\.([0-9]+))?$", k)
+    return F.when(text.rlike(r"^[0-9]+\.[0-9]+(\.[0-9]+)?$"), F.struct(part(1).cast("int").alias("major"), part(2).cast("int").alias("minor"), F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0)).alias("patch")))
+
+
+def os_version_display(system: Column, text: Column) -> Column:
+    """Version with the name that the system's versions go by."""
+    prefix = F.when(system == "apple-dos-3.3", "DOS ").when(system == "prodos", "ProDOS ").when(system == "sos", "SOS ").when(system == "ucsd-pascal", "UCSD Pascal ").otherwise("")
+    return F.concat(prefix, text)
+
+
+def app_version_display(name: Column, text: Column) -> Column:
+    return F.concat_ws(" ", F.nullif(name, F.lit("")), F.nullif(text, F.lit("")))
+
+
+def file_version_display(text: Column) -> Column:
+    return F.concat(F.when(text.startswith("v"), "").otherwise("v"), text)
+
+
+def file_identifier(category: Column, system: Column, system_version: Column) -> Column:
+    """Identifier of a file by category, file system and version; assembly counts as binary, no category as data."""
+    kind = F.when(F.lower(category) == "assembly", "binary").otherwise(F.coalesce(F.nullif(F.lower(category), F.lit("")), F.lit("data")))
+    last = F.when(system.isNotNull() & (F.coalesce(system_version, F.lit("")) != ""), version_name(system_version))
+    return F.concat_ws(".", F.lit("com.apple.file"), kind, format_name(system), last)
+
+
+def entry_identifier(name: Column, category: Column, image: Column, system: Column, system_version: Column) -> Column:
+    """Identifier of an entry: of the image where it is one, else of the file; without a category its name's group decides."""
+    group = type_group(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    return F.coalesce(F.when(image.isNotNull(), image_identifier(image, system, system_version)), file_identifier(F.coalesce(category, F.nullif(group, F.lit("unknown"))), system, system_version))
+
+
+def zip_method(method: Column) -> Column:
+    """struct(name, era) of a compression method."""
+    name = lookup(method, {k: v[0] for k, v in ZIP_NAMES.items()}, "Unknown")
+    return F.struct(name.alias("name"), lookup(method, {k: v[1] for k, v in ZIP_NAMES.items() if v[1]}).alias("era"))
+
+
+def zip_metadata(content: Column) -> Column:
+    """struct(version_needed, method, name, era) of content that begins with a local file header, or null."""
+    from stowage.functions import binary
+
+    method = binary.unsigned(content, 8, 2, little=True)
+    found = zip_method(method)
+    return F.when((F.length(content) >= 30) & (F.substring(content, 1, 4) == F.lit(b"PK\x03\x04")), F.struct(binary.unsigned(content, 4, 1).alias("version_needed"), method.alias("method"), found["name"].alias("name"), found["era"].alias("era")))

@@ -70,8 +70,50 @@ def group(frame: DataFrame, key: str, position: str, columns: list[str]) -> Data
     return frame.groupBy(F.col(key).alias("group_key")).agg(F.min_by(F.struct(position, *columns), position).alias("first"), F.count("*").alias("members")).select("group_key", *[F.col(f"first.{c}").alias(c) for c in (position, *columns)], "members")
 
 
-def grep(texts: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:
-    """Matching lines: 1-based number, offset in code points, the line and the first match in it."""
-    rows = texts.select(*key, F.posexplode(F.split(text, "\n")).alias("n", "line"), F.col(text).alias("_text")).where(F.col("line").rlike(pattern))
-    before = F.aggregate(F.slice(F.split("_text", "\n"), F.lit(1), F.col("n")), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    return rows.select(*key, (F.col("n") + 1).cast("long").alias("line_number"), before.cast("long").alias("line_offset"), "line", F.regexp_extract("line", f"({pattern})", 1).alias("matched"))
+def grep(texts: DataFrame, key: list[str], text: str, pattern: str, context: int = 0) -> DataFrame:
+    """Matching lines: 1-based number, offset in bytes, the line, the first match in it, and ``context`` lines around it.
+
+    A text's lines and their running offsets are made once, inside the row; only matches leave it.
+    """
+    lines = F.split(F.col(text), "\n")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
+    offsets = F.aggregate(F.col("_lines"), start, lambda acc, x: F.struct((acc["at"] + F.octet_length(x) + 1).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+    around = lambda i: F.slice(F.col("_lines"), F.greatest(i + 1 - context, F.lit(1)), 1 + context + F.least(i, F.lit(context)))
+    numbered = F.transform(F.col("_lines"), lambda x, i: F.struct((i + 1).cast("long").alias("line_number"), x.alias("line"), i.alias("i")))
+    kept = texts.select(*key, lines.alias("_lines")).withColumn("_hits", F.filter(numbered, lambda n: n["line"].rlike(pattern))).where(F.size("_hits") > 0)
+    found = F.transform("_hits", lambda n: F.struct(n["line_number"], F.get(F.col("_offsets"), n["i"]).alias("line_offset"), n["line"], around(n["i"]).alias("context")))
+    rows = kept.withColumn("_offsets", offsets).select(*key, F.explode(found).alias("m"))
+    named = rows.select(*key, "m.line_number", "m.line_offset", "m.line", F.regexp_extract("m.line", f"({pattern})", 1).alias("matched"), "m.context")
+    return named if context else named.drop("context")
+
+
+def batch(frame: DataFrame, run: Stage, most: int) -> DataFrame:
+    """``run`` over at most ``most`` partitions at a time, results by input; a bad input is a row with errors, the others go on."""
+    return run(frame.repartition(most, "input")).orderBy("input")
+
+
+def extract_result(members: DataFrame) -> DataFrame:
+    """Extraction results: what was written, how much, or why not."""
+    return members.select("path", F.col("error").isNull().alias("ok"), F.length("content").cast("long").alias("bytes"), "error")
+
+
+def metadata_result(entries: DataFrame) -> DataFrame:
+    return entries.select("path", "content_type", "size", "hash")
+
+
+class PipelineRegistry:
+    """Pipelines by name; a name registered again is replaced."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, Stage] = {}
+
+    def register(self, name: str, pipeline: Stage) -> None:
+        self.held[name] = pipeline
+
+    def names(self) -> list[str]:
+        return sorted(self.held)
+
+    def run(self, name: str, frame: DataFrame) -> DataFrame:
+        if name not in self.held:
+            raise KeyError(f"no pipeline named {name}")
+        return self.held[name](frame)

@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.dims import HASH_SIZES
+from stowage.functions import types
+from stowage.functions.hashing import hash_hex
 
 def registry(entries: DataFrame, algorithm: str = "sha256") -> DataFrame:
     """One row a hash: size, algorithm and the first position that has it. Content never enters the shuffle."""
-    return entries.groupBy("hash").agg(F.max("size").alias("size"), F.min("pos").alias("first_pos"), F.count("*").alias("copies")).withColumn("algorithm", F.lit(algorithm))
+    return entries.where("hash is not null").groupBy("hash").agg(F.max("size").alias("size"), F.min("pos").alias("first_pos"), F.count("*").alias("copies")).withColumn("algorithm", F.lit(algorithm))
 
 
 def first_occurrence(entries: DataFrame) -> DataFrame:
@@ -95,10 +98,11 @@ def mirrored(stores: list[DataFrame]) -> DataFrame:
 
 def cached_hashes(listing: DataFrame, cache: DataFrame, algorithm: str = "sha256", tolerance_us: int = 1_000_000) -> DataFrame:
     """Listing rows with the cached hash where path, size, algorithm and (within the tolerance) time agree."""
-    held = cache.where(F.col("algorithm") == algorithm).select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("hash").alias("_hash"))
+    latest = cache.where(F.col("algorithm") == algorithm).groupBy("path").agg(F.max_by(F.struct("size", "hash"), F.struct("mtime", "hash")).alias("e"), F.max("mtime").alias("_mtime"))
+    held = latest.select("path", F.col("e.size").alias("_size"), "_mtime", F.col("e.hash").alias("_hash"))
     rows = listing.join(held, "path", "left")
     hit = F.coalesce((F.col("_size") == F.col("size")) & (F.abs(F.col("_mtime") - F.col("mtime")) < tolerance_us), F.lit(False))
-    return rows.withColumn("hit", hit).withColumn("hash", F.when(hit, F.col("_hash")).otherwise(F.sha2("content", 256))).drop("_size", "_mtime", "_hash", "content")
+    return rows.withColumn("hit", hit).withColumn("hash", F.when(hit, F.col("_hash")).otherwise(hash_hex(F.col("content"), algorithm))).drop("_size", "_mtime", "_hash", "content")
 
 
 def cache_stats(looked_up: DataFrame) -> DataFrame:
@@ -111,6 +115,22 @@ def evict(cache: DataFrame, most: int) -> DataFrame:
     return cache.orderBy(F.desc("last_access"), "path").limit(most)
 
 
+def _differs(content: Column, hashed: Column, algorithm: Column) -> Column:
+    """Whether the digest that the algorithm makes is another; unknown algorithms are judged elsewhere."""
+    found = F.lit(False)
+    for name in HASH_SIZES:
+        found = F.when(F.lower(algorithm) == name, F.lower(hashed) != hash_hex(content, name)).otherwise(found)
+    return found
+
+
+def read_validity(content: Column, hashed: Column, algorithm: Column, size: Column) -> Column:
+    """struct(is_valid, errors, warnings) of a chunk that was read: a wrong digest gives two errors, another size than known a warning."""
+    wrong = _differs(content, hashed, algorithm)
+    errors = F.array_compact(F.array(F.when(hashed == "", "hash is empty"), F.when(~hashed.rlike("^[0-9a-fA-F]*$"), "hash contains non-hex characters"), F.when(wrong, "hash mismatch"), F.when(wrong, "content is not what was stored")))
+    warnings = F.array_compact(F.array(F.when(size != F.length(content), "size differs from the metadata")))
+    return F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings"))
+
+
 def validity(content: Column, hashed: Column, algorithm: Column, allowed=("sha256",), least: int = 0, most: int | None = None) -> Column:
     """struct(is_valid, errors, warnings) of a chunk and its identifier."""
     errors = [
@@ -118,12 +138,13 @@ def validity(content: Column, hashed: Column, algorithm: Column, allowed=("sha25
         F.when(~hashed.rlike("^[0-9a-fA-F]*$"), "hash contains non-hex characters"),
         F.when(~F.lower(algorithm).isin(*allowed), "algorithm not allowed"),
         F.when(F.length(content) < least, "content too small"),
-        F.when(F.lower(hashed) != F.sha2(content, 256), "hash mismatch"),
+        F.when(_differs(content, hashed, algorithm), "hash mismatch"),
     ]
     if most is not None:
         errors.append(F.when(F.length(content) > most, "content too large"))
     wrong = F.array_compact(F.array(*errors))
-    warnings = F.array_compact(F.array(F.when(F.length(hashed) != 64, F.concat(F.lit("hash length "), F.length(hashed).cast("string")))))
+    digits = types.lookup(F.lower(algorithm), {k: 2 * v for k, v in HASH_SIZES.items()}, 64)
+    warnings = F.array_compact(F.array(F.when(F.length(hashed) != digits, F.concat(F.lit("hash length "), F.length(hashed).cast("string")))))
     return F.struct((F.size(wrong) == 0).alias("is_valid"), wrong.alias("errors"), warnings.alias("warnings"))
 
 
@@ -149,3 +170,15 @@ def running_progress(entries: DataFrame) -> DataFrame:
     before = sums.select("block", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(order), F.lit(0)).alias("s0"))
     rows = blocked.select("block", "pos", F.count("*").over(inside).alias("n1"), F.sum("size").over(inside).alias("s1")).join(before, "block")
     return rows.select("pos", (F.col("n0") + F.col("n1")).alias("files_done"), (F.col("s0") + F.col("s1")).cast("long").alias("bytes_done"))
+
+
+def joined_offsets(entries: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Embedded entries with the offset of their hash; of several the last by position."""
+    last = offsets.groupBy("hash").agg(F.max_by("offset", "pos").alias("offset"))
+    found = entries.join(last, "hash", "left")
+    return found.withColumn("offset", F.when(F.col("embedded"), F.col("offset")))
+
+
+def join_postings(postings: DataFrame, meta: DataFrame) -> DataFrame:
+    """Metadata of the hashes of a posting list; hashes without any are dropped."""
+    return postings.join(meta, "hash")

@@ -111,7 +111,7 @@ def oracle_sql() -> dict[str, str]:
         "pipe_reduce": _with(ORDERS) + "select status, cast(sum(pos) as bigint) as total, min(pos) as first, max(pos) as last from o group by status",
         "pipe_chain_batch": _with(ORDERS) + "select cast(pos as varchar) as input, case when pos % 3 <> 0 then pos * 2 end as a, case when pos % 3 <> 0 then pos * 2 + 1 end as b, case when pos % 3 = 0 then 2 else 1 end - 1 as n_errors from o",
         "result_grep": "with l as (select conv_id, turn, string_split(text, chr(10)) as ls from conversations), e as (select conv_id, turn, ls, unnest(range(len(ls))) as n from l) "
-        f"select conv_id, turn, n + 1 as line_number, cast(coalesce(list_sum(list_transform(list_slice(ls, 1, n), lambda x: length(x) + 1)), 0) as bigint) as line_offset, ls[n + 1] as line, regexp_extract(ls[n + 1], {_text('(' + GREP + ')')}, 1) as matched from e where regexp_matches(ls[n + 1], {_text(GREP)})",
+        f"select conv_id, turn, n + 1 as line_number, cast(coalesce(list_sum(list_transform(list_slice(ls, 1, n), lambda x: strlen(x) + 1)), 0) as bigint) as line_offset, ls[n + 1] as line, regexp_extract(ls[n + 1], {_text('(' + GREP + ')')}, 1) as matched from e where regexp_matches(ls[n + 1], {_text(GREP)})",
         "result_listing": _with(FILES) + "select path, type, size, hash from files",
         "listing_totals": _with(FILES) + "select count(*) as files, cast(sum(size) as bigint) as size from files",
         "sector_addressing": _with(FILES, SECTORS) + "select * from sectors",

@@ -36,7 +36,9 @@ class ChunkStore:
         fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(hadoop):
             return []
-        return sorted(int(s.getPath().getName().split("-")[1]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("metadata-"))
+        named = [s.getPath() for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("metadata-")]
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(p.getName().split("-")[1]) for p in named if fs.exists(done(p, "_SUCCESS")))  # a job that died leaves no version
 
     def write(self, files: DataFrame) -> int:
         """Add chunks of ``files`` (hash, size, content) that are not held; returns how many were new."""
@@ -50,7 +52,11 @@ class ChunkStore:
         """Merge sidecar rows into the held ones; the former version stays until the new one is whole."""
         versions = self._versions()
         merged = store.merge_metadata(self.metadata().select(*rows.columns).unionByName(rows)).withColumn("seq", F.lit(-1).cast("long"))
-        merged.select(*self.metadata().columns).write.parquet(f"{self.path}/metadata-{versions[-1] + 1 if versions else 0}")
+        merged.select(*self.metadata().columns).write.mode("overwrite").parquet(f"{self.path}/metadata-{versions[-1] + 1 if versions else 0}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for old in versions[:-1]:  # the version before stays for readers that have begun
+            path = hadoop(f"{self.path}/metadata-{old}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def delete(self, ids: DataFrame, into: str) -> ChunkStore:
         """A store at ``into`` without the given hashes."""

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from stowage import archive
 from stowage.functions import binary, hashing, paths, types
-from stowage.operators import codecs, dataflow, index, store, tree
+from stowage.operators import catalog, codecs, dataflow, images, index, store, tree
+from stowage.sources import stores
 from stowage.sources.chunkstore import ChunkStore
 from stowage.streaming import ingest
 
@@ -170,3 +171,140 @@ def test_binary(spark):
     assert one(spark, binary.matches_magic(c, 1, b"\1\xff\3", [1, 0, 1]), c=value) is True
     assert one(spark, binary.cut(c, 20, 1), c=value) is None
     assert bytes(one(spark, binary.cut(c, 14, 9), c=value)) == b"\x0e\x0f"
+
+
+# ---- codecs that must not hide damage
+
+
+def test_truncated_streams_are_errors():
+    data = os.urandom(100_000) * 2
+    whole = gzip.compress(data)
+    with pytest.raises(ValueError):
+        codecs.gunzip(whole[: len(whole) // 2])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.bin", data)
+    with pytest.raises(ValueError):
+        codecs.first_zip_member(out.getvalue()[:50_000])
+    broken = bytearray(out.getvalue())
+    broken[14] ^= 1  # the checksum
+    with pytest.raises(ValueError):
+        codecs.first_zip_member(bytes(broken))
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
+def test_streamed_zip_members(method):
+    class Pipe(io.RawIOBase):
+        def __init__(self):
+            self.held = bytearray()
+
+        def writable(self):
+            return True
+
+        def write(self, b):
+            self.held += bytes(b)
+            return len(b)
+
+    pipe, data = Pipe(), b"streamed " * 500
+    with zipfile.ZipFile(pipe, "w", method) as z, z.open(zipfile.ZipInfo("a"), "w") as member:
+        member.write(data)
+    assert codecs.first_zip_member(bytes(pipe.held)) == data
+
+
+def test_lzw_is_linear():
+    import time
+
+    data = os.urandom(1000) * 400
+    began = time.process_time()
+    assert codecs.lzw(codecs.compress_lzw(data)) == data
+    assert time.process_time() - began < 10
+
+
+def test_bad_archives_are_rows(spark):
+    rows = spark.createDataFrame([("a", b"no tar at all" * 100), ("b", b"x")], "path string, content binary")
+    assert {r["archive"]: r["error"] is not None for r in codecs.tar_members(rows).collect()} == {"a": True, "b": True}
+    assert all(r["error"] for r in codecs.iso_tree(rows).collect())
+
+
+def test_compression_pipelines(spark):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name, data in (("a", b"first"), ("b", b"second")):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    rows = [("x.tar.gz", gzip.compress(out.getvalue())), ("y.tgz", gzip.compress(out.getvalue())), ("z.gz", gzip.compress(b"plain")), ("w.txt", b"as it is"), ("v.gz", b"broken")]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    got = {r["path"]: (bytes(r["content"]) if r["content"] is not None else None, r["error"] is not None) for r in codecs.compression_pipeline(files).collect()}
+    assert got == {"x.tar.gz": (b"first", False), "y.tgz": (b"first", False), "z.gz": (b"plain", False), "w.txt": (b"as it is", False), "v.gz": (None, True)}
+    members = codecs.tgz_pipeline(files.where("path in ('x.tar.gz', 'v.gz')")).collect()
+    assert {(r["archive"], r["member"], bytes(r["content"]) if r["content"] is not None else None) for r in members} == {("x.tar.gz", "a", b"first"), ("x.tar.gz", "b", b"second"), ("v.gz", None, None)}
+
+
+# ---- stores
+
+
+def test_mirrored_stores(spark, tmp_path):
+    first, second = stores.Store(spark, f"{tmp_path}/a"), stores.Store(spark, f"{tmp_path}/b", "flat")
+    rows = [(c.encode() * 100,) for c in "abc"]
+    files = spark.createDataFrame(rows, "content binary").select(F.sha2("content", 256).alias("hash"), F.length("content").cast("long").alias("size"), "content")
+    mirrored = stores.Mirrored(first, second)
+    assert first.write(files.where("content = cast(repeat('a', 100) as binary)")) == 1
+    assert mirrored.write(files) == [2, 3] and mirrored.write(files) == [0, 0]
+    ids = files.select("hash").union(spark.createDataFrame([("f" * 64,)], "hash string"))
+    assert sorted(r["found"] for r in mirrored.exists(ids).collect()) == [False, True, True, True]
+    assert {bytes(r["content"]) for r in mirrored.read(ids).collect() if r["content"] is not None} == {r[0] for r in rows}
+    cut = mirrored.read_range(files.select("hash", F.lit(98).alias("offset"), F.lit(10).alias("length"))).collect()
+    assert {bytes(r["content"]) for r in cut} == {b"aa", b"bb", b"cc"}
+    only_b = files.where("content = cast(repeat('b', 100) as binary)")
+    rest = mirrored.delete(only_b, [f"{tmp_path}/c", f"{tmp_path}/d"])
+    assert [r["size"] for r in rest.size(ids.orderBy("hash")).collect() if r["size"] is not None] == [100, 100]
+    hashed = files.first()["hash"]
+    handle = first.open(hashed)
+    assert handle.read(2, 3) == handle.read()[2:5]
+    handle.close()
+    with pytest.raises(ValueError):
+        handle.read()
+    with pytest.raises(KeyError):
+        first.open("0" * 64)
+    assert {r["place"] for r in second.place(files).collect()} == {r["hash"] for r in files.collect()}
+    assert stores.Store(spark, f"{tmp_path}/e").write_files(files.select("content")) == 3
+
+
+def test_hash_cache_saved_and_loaded(spark, tmp_path):
+    rows = [(f"p{k}", k, k, f"h{k}", "sha256" if k % 2 else "md5", k) for k in range(10)]
+    cache = stores.HashCache(spark.createDataFrame(rows, stores.HashCache.SCHEMA))
+    cache.save(f"{tmp_path}/cache")
+    loaded = stores.HashCache.load(spark, f"{tmp_path}/cache", most=3)
+    assert sorted(r["path"] for r in loaded.rows.collect()) == ["p5", "p7", "p9"]
+    fresh = spark.createDataFrame([("p5", 1, 1, "new", 99)], "path string, size long, mtime long, hash string, last_access long")
+    assert {r["path"]: r["hash"] for r in loaded.set(fresh).rows.collect()} == {"p5": "new", "p7": "h7", "p9": "h9"}
+    assert loaded.remove(fresh.select("path")).rows.count() == 2 and loaded.clear().rows.count() == 0
+    assert stores.HashCache.load(spark, f"{tmp_path}/nowhere").rows.count() == 0
+
+
+def test_broken_versions_do_not_count(spark, tmp_path):
+    held = ChunkStore(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("a", 0, 1, None, None, ["p"], 1, 1)], "hash string, seq long, size long, content_type string, original_filename string, original_paths array<string>, created long, modified long")
+    held.merge_metadata(rows)
+    os.makedirs(tmp_path / "s" / "metadata-7")
+    assert held.metadata().count() == 1
+
+
+def test_required_location_raises(spark):
+    rows = spark.createDataFrame([("a", 1, True, False, True)], "path string, priority int, required boolean, present boolean, writable boolean")
+    with pytest.raises(Exception, match="required storage missing"):
+        catalog.with_default(rows, "/d").collect()
+
+
+def test_images_with_errors(spark):
+    rows = spark.createDataFrame([("short", b"x"), ("none", None), ("dmg", b"a" * 1024 + b"koly" + b"\xff" * 508)], "image string, content binary")
+    for kind in images.FORMATS:
+        assert images.read(rows, kind).count() == (0 if kind != "raw" else 0)
+    assert {r["image"]: r["error"] for r in images.metadata(rows.where("image = 'dmg'"), "dmg").collect()} == {"dmg": "invalid data"}
+
+
+def test_wrong_algorithm_is_not_sha256(spark):
+    checked = store.validity(F.col("c"), F.md5("c"), F.lit("md5"), ("md5",))
+    row = spark.createDataFrame([("abc",)], "c string").select(checked.alias("v")).first()["v"]
+    assert row["is_valid"] and row["warnings"] == []

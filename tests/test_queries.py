@@ -5,10 +5,11 @@ import os
 import duckdb
 import pytest
 
-from stowage.plans import oracle, registry
+from stowage.plans import more, oracle, registry
 
 DATA = "/root/testdata/sf0.001"
-SQL = oracle.oracle_sql()
+SQL = oracle.oracle_sql() | more.oracle_sql()
+QUERIES = registry.queries() | more.queries()
 
 
 def norm(value):
@@ -25,7 +26,7 @@ def db():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, db, name):
-    frame = registry.queries()[name](spark, DATA)
+    frame = QUERIES[name](spark, DATA)
     columns = sorted(frame.columns)
     got = sorted(tuple(norm(r[c]) for c in columns) for r in frame.collect())
     expected = db.sql(SQL[name])
@@ -34,9 +35,9 @@ def test_same_rows(spark, db, name):
     assert got == sorted(tuple(norm(r[k]) for k in at) for r in expected.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_has_rows(spark, name):
-    assert registry.queries()[name](spark, DATA).count() > 0
+    assert QUERIES[name](spark, DATA).count() > 0
 
 
 def test_can_read_judges_every_whole_document(spark, tmp_path):
