@@ -98,7 +98,7 @@ def layout(content: Column, kind: str) -> Column:
     """Struct of where the sectors of an image lie and how they are addressed."""
     size, zero = F.length(content).cast("long"), F.lit(0).cast("long")
     no_text, no_time = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
-    error = F.when(~binary.can_read(content)[kind], "invalid format")
+    error = F.when(content.isNull() | ~binary.can_read(content)[kind], "invalid format")
     offset, title, date = zero, no_text, no_time
     if kind == "dmg":
         trailer = udif_trailer(content)
@@ -108,7 +108,7 @@ def layout(content: Column, kind: str) -> Column:
         error = F.when(error.isNotNull(), error).when(outside | (length < 512), "invalid data")
         sectors = F.floor(length / 512)
     elif kind == "iso":
-        error = F.when(size < 2048, "invalid format")
+        error = F.when(content.isNull() | (size < 2048), "invalid format")
         sectors = F.floor(size / 2048)
         geometry = _geometry(1, 1, sectors, 2048)
         fields = iso_pvd_fields(content)
@@ -123,7 +123,7 @@ def layout(content: Column, kind: str) -> Column:
     else:
         geometry = geometry_raw(size)
         sectors = F.floor(size / geometry["sector_size"])
-    addressed = F.least(sectors, geometry["tracks"] * geometry["sides"] * geometry["per_track"]).cast("long")
+    addressed = F.when(sectors.isNotNull(), F.least(sectors, geometry["tracks"] * geometry["sides"] * geometry["per_track"])).cast("long")
     return F.struct(error.alias("error"), offset.alias("offset"), addressed.alias("sectors"), *[v.alias(k) for k, v in geometry.items()], title.alias("title"), date.alias("image_date"))
 
 
