@@ -37,10 +37,10 @@ ORDERS = 3
 ALL = (1 << ORDERS) - 1
 SMALL_RUN = 16  # nodes of a token whose pairs are all emitted
 FREQUENT = 100_000  # most shingles that the orders put last
-CHUNK = 1 << 22  # shingles counted at once for that list
+CHUNK = 1 << 21  # shingles counted at once for that list
 REPEATS = 4  # occurrences in a chunk from which a shingle is counted
-BUCKET_TOKENS = 2_000_000  # prefix tokens of a bucket, about
-FLUSH_TOKENS = 1 << 20
+BUCKET_TOKENS = 1_000_000  # prefix tokens of a bucket, about
+FLUSH_TOKENS = 1 << 19
 HELD_SETS = 256  # unpacked sets that a verifying task keeps
 BLOCK_NODES = 2048  # nodes of a cluster compared at once
 GROUP_ROWS = 20_000  # members of small runs handled together

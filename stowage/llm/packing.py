@@ -36,7 +36,7 @@ HARD_PENALTY = 12.0  # the same for a cut inside a sentence
 HARD_STEP = 16  # step of the cuts inside a stretch without sentence ends
 HARD_GAP = 48  # longest stretch without such cuts
 CACHED_WORDS = 1 << 20
-CHUNK_BYTES = 1 << 21  # bytes of texts whose pieces are looked up together
+CHUNK_BYTES = 1 << 20  # bytes of texts whose pieces are looked up together
 DOCUMENTS = 1024  # read at once
 MERGED = 4096  # words merged at once
 

@@ -71,7 +71,7 @@ def pieces_of(text: bytes, most: int) -> list[bytes]:
     return out
 
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def word_hashes_all(texts: list[str | None]) -> list[np.ndarray]:
