@@ -2,7 +2,8 @@
 
 Base kinds are found by regular expressions; spans come from the lengths of the text between matches. The bootstrap
 then looks at *mentions*: a word followed by an identifier-like token (with a digit or an at sign). A mention's lexical pattern is its
-context word and its instance the token. Mentions that touch a base span are seeds. Patterns and
+context word, with punctuation where that stands between (``token = "``), and its instance the token. Mentions that touch a base span
+are seeds, and so are long hexadecimal keys, by their shape. Patterns and
 instances form a bipartite graph that Spark scores in rounds: a pattern is as good as the share of its distinct instances that
 are believed, an instance as its best pattern; instances of high-confidence patterns become spans of kind ``context``. Every round
 judges all patterns anew, so instances found in one round support patterns in the next.
@@ -31,7 +32,10 @@ PATTERNS = {
 NEEDED = {"email": "@", "phone": "+"}  # a character that every match holds
 KINDS = tuple(PATTERNS)
 CONTEXT = "context"
-MENTION = r"(?<!\S)(\S{1,24})\s++(?=\S{0,79}[0-9@])(\+[0-9][\x20().0-9-]{4,40}[0-9]|\S{4,80})(?!\S)"
+# a word, and before it nothing but white space to the token that it introduces: a phone number with its blanks, or what holds a digit or an at sign
+MENTION = r"(?<!\S)(\S++)\s++(?=(\+[0-9][\x20().0-9-]+[0-9](?!\S)|\S*[0-9@]\S*))"
+OPAQUE = "^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"  # keys and tokens in hexadecimal: seeds by their shape
+BLOCK = 256  # matches whose places are added up together
 
 ROUNDS = 3
 LEAST_SEEDS = 3  # believed distinct instances, summed, of a pattern that may be believed
@@ -39,19 +43,32 @@ CONFIDENCE = 0.8
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """Array of (value, start, end) of all matches: starts add up the lengths of gaps and matches before."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _located(text: Column, pattern: str, groups: int = 0) -> Column:
+    """Array of (value, start, end, before, g1..) of all matches: starts add up the lengths of gaps and matches before.
+
+    ``before`` is the last word of the gap. Matches are added up in blocks, so a text of many matches copies no array once for each.
+    """
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(groups + 1)]
     gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(v.alias("value"), F.length(g).alias("gap"), F.length(v).alias("n")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out"))
+    names = ["value", *[f"g{k}" for k in range(1, groups + 1)]]
+    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found[0])).alias("gap"), *[v.alias(n) for n, v in zip(names, found, strict=True)])
+    row = "struct<value:string,start:int,end:int,before:string" + "".join(f",{n}:string" for n in names[1:]) + ">"
 
     def step(acc, s):
-        start = acc["at"] + s["gap"]
-        end = start + s["n"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(s["value"].alias("value"), start.alias("start"), end.alias("end")))).alias("out"))
+        start = acc["at"] + F.length(s["gap"])
+        end = start + F.length(s["value"])
+        last = F.regexp_extract(F.substring(s["gap"], -200, 200), r"(\S+)\s*$", 1) if groups else F.lit("")
+        own = F.struct(s["value"].alias("value"), start.alias("start"), end.alias("end"), last.alias("before"), *[s[n].alias(n) for n in names[1:]])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    def block(acc, rows):
+        own = F.aggregate(rows, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{row}>").alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.concat(acc["all"], F.array(own["out"])).alias("all"))
 
-    return F.when(F.size(values) > 0, F.aggregate(steps, first, step, lambda acc: acc["out"])).otherwise(first["out"])
+    n = F.size(found[0])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: F.slice(zipped, k * BLOCK + 1, F.lit(BLOCK)))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{row}>>").alias("all"))
+    return F.when(n > 0, F.aggregate(blocks, first, block, lambda acc: F.flatten(acc["all"]))).otherwise(F.array().cast(f"array<{row}>"))
 
 
 def _digits(value: Column) -> Column:
@@ -83,25 +100,30 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _mentions(text: Column) -> Column:
-    """Array of (context, token, start, end): context words lower-cased without outer punctuation."""
+    """Array of (context, token, start, end).
+
+    The context is the word before the token, lower-cased and without outer punctuation; where that word is punctuation alone, as in
+    ``key = "..."``, it is the word before it, the punctuation and what the token opens with.
+    """
+    outer = r"^[^\p{L}0-9]+|[^\p{L}0-9]+$"
 
     def mention(m):
-        token = F.regexp_extract(m["value"], r"(?s)^\S+\s+(.*)$", 1)
+        token, word = m["g2"], F.regexp_replace(F.lower(m["g1"]), outer, "")
+        opened = F.regexp_extract(token, r"^[^\p{L}0-9+]+", 0)
         core = F.regexp_replace(token, r"^[^\p{L}0-9+]+|[^\p{L}0-9]+$", "")
-        start = m["end"] - F.length(token) + F.length(F.regexp_extract(token, r"^[^\p{L}0-9+]+", 0))
-        context = F.regexp_replace(F.lower(F.regexp_extract(m["value"], r"^(\S+)", 1)), r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
+        start = m["end"] + F.length(opened)
+        wide = F.concat_ws(" ", F.nullif(F.regexp_replace(F.lower(m["before"]), outer, ""), F.lit("")), m["g1"], opened)
+        context = F.when(word != "", word).when(F.regexp_replace(m["before"], outer, "") != "", wide).otherwise("")
         return F.struct(context.alias("context"), core.alias("token"), start.alias("start"), (start + F.length(core)).alias("end"))
 
-    found = F.transform(_located(text, MENTION), mention)
+    found = F.transform(_located(text, MENTION, 2), mention)
     return F.filter(found, lambda m: (m["context"] != "") & ~m["context"].rlike("[0-9]") & (F.length(m["token"]) >= 4))
 
 
 def believed_contexts(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Contexts that the pattern-instance graph gives high confidence; ``mentions`` has context, token and seed."""
     edges = materialize(mentions.groupBy("context", "token").agg(F.max("seed").alias("seed")), "pii-graph")
-    # no belief is above 1: fewer instances than LEAST_SEEDS never support their context, whatever is believed
-    enough = edges.groupBy("context").count().where(F.col("count") >= LEAST_SEEDS).select("context")
-    edges = materialize(edges.join(enough, "context").select("context", "token", F.col("seed").cast("double").alias("seed")), "pii-edges")
+    edges = materialize(edges.select("context", "token", F.col("seed").cast("double").alias("seed")), "pii-edges")
 
     def judged(belief):
         patterns = belief.groupBy("context").agg(F.sum("belief").alias("support"), F.count("*").alias("n"))
@@ -121,9 +143,9 @@ def find(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", F.sha2("text", 256).alias("text_hash"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS], F.when(F.col("text").rlike("[0-9@]"), _mentions(F.col("text"))).otherwise(F.array().cast("array<struct<context:string,token:string,start:int,end:int>>")).alias("mentions"))
     rows = materialize(rows.select("doc_id", "text_hash", F.concat(*KINDS).alias("spans"), "mentions"), "pii-rows")
     touches = F.exists("spans", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start")))
-    exploded = rows.where(F.size("mentions") > 0).select("doc_id", "text_hash", "spans", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.context", "m.token", "m.start", "m.end", touches.alias("seed"))
+    exploded = rows.where(F.size("mentions") > 0).select("doc_id", "text_hash", "spans", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.context", "m.token", "m.start", "m.end", touches.alias("base"), (touches | F.col("m.token").rlike(OPAQUE)).alias("seed"))
     contexts = believed_contexts(exploded.select("context", "token", "seed"))
-    new = exploded.where("not seed").join(contexts.select("context"), "context")
+    new = exploded.where("not base").join(contexts.select("context"), "context")
     added = new.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit(CONTEXT).alias("kind"), "start", "end"))).alias("added"))
     keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "text_hash"]
     joined = rows.select("doc_id", *keys, "spans").join(added.select(*keys, "added"), ["_id", "text_hash"], "left")

@@ -491,3 +491,42 @@ def test_edits_equal_the_table():
             for j, v in enumerate(y, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (u != v))
         assert substrings._edits(np.array(x), np.array(y), 99) == row[-1]
+
+
+def test_pii_finds_keys_between_quotes(spark):
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(8)]
+    texts = [f'then token = "{k}" and so on' for k in keys] + ['here token = "short-77-key" too', 'License, version 3. "quoted 99-11" text', 'colour = "red-1234"']
+    rows = {r["doc_id"]: r["spans"] for r in pii.summary(pii.find(frame(spark, texts))).collect()}
+    assert rows[0] == "context:14:54" and rows[8] == "context:14:26" and rows[9] == "" and rows[10] == ""
+
+
+def test_pii_rounds_equal_plain_python(spark):
+    rng = random.Random(6)
+    edges = list({(f"c{rng.randrange(12)}", f"t{rng.randrange(60)}", rng.random() < 0.0) for _ in range(260)})
+    seeds = {f"t{k}" for k in range(25)}
+    edges = [(c, t, t in seeds) for c, t, _ in edges if not (c in ("c1", "c2") and int(t[1:]) > 27)]
+    belief = {(c, t): float(s) for c, t, s in edges}
+
+    def judged():
+        out = {}
+        for c in {c for c, _, _ in edges}:
+            own = [v for (x, _), v in belief.items() if x == c]
+            if sum(own) >= pii.LEAST_SEEDS and sum(own) / (len(own) + 1) >= pii.CONFIDENCE:
+                out[c] = sum(own) / (len(own) + 1)
+        return out
+
+    for _ in range(pii.ROUNDS):
+        good, best = judged(), {}
+        for c, t, _ in edges:
+            if c in good:
+                best[t] = max(best.get(t, 0.0), good[c])
+        belief = {(c, t): max(float(s), best.get(t, 0.0)) for c, t, s in edges}
+    rows = pii.believed_contexts(spark.createDataFrame(edges, "context string, token string, seed boolean")).collect()
+    assert {r["context"]: pytest.approx(r["confidence"]) for r in rows} == judged()
+
+
+def test_pii_many_matches_in_one_text(spark):
+    text = " ".join(f"a{k}@example.com" for k in range(3000))
+    row = pii.summary(pii.find(frame(spark, [text]))).first()
+    assert row["n_email"] == 3000 and row["base_sha256"] == hashlib.sha256(",".join(brute_spans(text)).encode()).hexdigest()
