@@ -58,7 +58,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = mixing.score(docs, *mixing.fit(docs, ~in_fold("doc_id", 5, 1)))
+    scored = mixing.score(docs, ~in_fold("doc_id", 5, 1))
     return scored.select("doc_id", in_fold("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -310,12 +310,11 @@ def test_decontamination_equals_brute_force(spark):
 
 
 def test_base_score_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "FREQUENT", 40)
-    texts = [prose(RNG.randint(0, 60)).title() for _ in range(80)] + [None, "", "never-seen Words", "a b \x1fc"]
+    monkeypatch.setattr(mixing, "VOCABULARY", 40)
+    texts = [prose(RNG.randint(0, 60)).title() for _ in range(80)] + [None, "", "never-seen Words", "a b \x1fc"]
     texts += texts[:5]
-    docs = frame(spark, texts)
-    train = F.col("doc_id") % 4 != 1
-    rows = mixing.score(docs, *mixing.fit(docs, train)).collect()
+    docs = frame(spark, texts).repartition(3)
+    rows = mixing.score(docs, F.col("doc_id") % 4 != 1).collect()
     tokens = lambda t: (t or "").encode().lower().split() + [None]
     counts = Counter(w for k, t in enumerate(texts) if k % 4 != 1 for w in tokens(t))
     total, kinds = sum(counts.values()), len(counts)
@@ -328,21 +327,46 @@ def test_base_score_equals_brute_force(spark, monkeypatch):
 
 
 def test_mixing_is_a_code(spark):
-    """All one-byte continuations and the end share at most the whole probability, and known text costs less than noise."""
-    docs = frame(spark, [prose(40) for _ in range(120)])
-    model, _ = mixing.fit(docs, F.lit(True))
-    texts = [b"", *[bytes([k]) for k in range(256)]]
-    heads = [10**s for s in model.score(texts)]
-    assert sum(heads) <= 1
-    known, noise = prose(100).encode(), bytes(RNG.choices(range(33, 126), k=600))
-    assert model.score([known])[0] / len(known) > model.score([noise])[0] / len(noise)
-    assert model.score([known, noise]) == pytest.approx([model.score([known])[0], model.score([noise])[0]])
+    """Different token sequences share at most the whole probability; known text costs less than noise."""
+    known = [prose(60) for _ in range(150)]
+    letters = ["", *[chr(k) for k in range(33, 127) if not 65 <= k <= 90], *[f"{a} {b}" for a in "ab" for b in "abcdef"], *VOCABULARY]
+    noise = " ".join("".join(RNG.choices("qwxyz0123456789", k=6)) for _ in range(60))
+    texts = [*known, *letters, known[3], noise]
+    held_out = len(known)
+    rows = {r["doc_id"]: r for r in mixing.score(frame(spark, texts), F.col("doc_id") < held_out).collect()}
+    assert sum(10 ** rows[held_out + k]["score"] for k in range(len(letters))) <= 1
+    seen, strange = rows[len(texts) - 2], rows[len(texts) - 1]
+    assert seen["score"] / len(known[3]) > 3 * strange["score"] / len(noise)
+    assert seen["score"] > seen["base_score"]
 
 
 def test_mixing_without_training(spark):
     docs = frame(spark, ["a b", None])
-    rows = mixing.score(docs, *mixing.fit(docs, F.lit(False))).collect()
-    assert [r["n_known"] for r in rows] == [0, 0] and all(r["train_tokens"] == 0 for r in rows)
+    rows = mixing.score(docs, F.lit(False)).collect()
+    assert [r["n_known"] for r in rows] == [0, 0] and all(r["train_tokens"] == 0 and -1000 < r["score"] < 0 for r in rows)
+    assert mixing.score(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_tree_is_complete_and_counts_are_those_of_its_nodes():
+    rng = np.random.default_rng(3)
+    tree, number = mixing.Tree.build(rng.integers(1, 100, 50))
+    assert sum(2.0**-n for n in tree.lengths) == 1 and sorted(number) == list(range(50))
+    keys = np.unique(rng.integers(0, 6, 120).astype(np.uint64) << np.uint64(mixing.SYM_BITS) | rng.integers(0, 50, 120).astype(np.uint64))
+    counts = rng.integers(0, 4, len(keys))
+    lengths, cells = mixing._paths(keys, counts, tree, 0, mixing.TOP)
+    path = lambda s: [int(tree.codes[s]) >> (mixing.TOP - 1 - d) & 1 for d in range(tree.lengths[s])]
+    split = [(int(k) >> mixing.SYM_BITS, path(int(k) & ((1 << mixing.SYM_BITS) - 1))) for k in keys]
+    at = 0
+    for (context, own), n in zip(split, lengths, strict=True):
+        expected = []
+        for d in range(len(own)):
+            below = [(p, c) for (x, p), c in zip(split, counts, strict=True) if x == context and p[:d] == own[:d]]
+            total = sum(c for _, c in below)
+            if not total:
+                break
+            expected.append(int(mixing._quantised(np.array([sum(c for p, c in below if p[d])]), np.array([total]))[0]))
+        assert n == len(expected) and cells[at : at + n].tolist() == expected
+        at += n
 
 
 # ---- op10
