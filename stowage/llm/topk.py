@@ -1,35 +1,65 @@
 """Exact top-k by inner product: an impact-ordered, score-at-a-time index.
 
-Every component of a vector is a posting of its dimension with an integer impact. Impacts are quantised by magnitude into
-powers of two, and an index block keeps one segment of postings for each level. Queries take the segments in
-descending order of impact. After each, the rest of a pair's score is bounded by the Cauchy-Schwarz inequality, with the
-norm of what the candidate's unread postings hold. A query stops when the k-th best lower bound exceeds every other
-candidate's upper bound; the possible members that remain are rescored exactly in integers.
-
-Index blocks and query blocks are built inside the input splits. A query block visits every index block through a join on
-the block's number: a stated query set against all rows, in blocks. Only k rows a query leave a pair of blocks.
+Every component of a vector is a posting of its dimension with an integer impact, its size. An index block, built once and stored, keeps
+for each dimension the postings in descending impact, cut into segments at the powers of two, and the largest impact of each segment. A
+query takes segments in descending order of what they can add (its own component times the segment's impact), round by round. After
+a round the unread rest of every score is bounded by the sum of the query's components times the largest unread impacts. The query
+stops when at most a few candidates can reach the k-th best lower bound, or the score of the k-th best of the first block that was
+read; these are rescored exactly. Blocks whose longest vector cannot reach it are not read at all. Vectors are put into blocks in
+descending length, so that skewed lengths leave most blocks unread. All sums are integers below 2**53, so bounds are proofs; where
+components are too large for that, nothing is skipped and scores are added up exactly.
+
+Query blocks visit index blocks through a join on the block's number: a stated query set against all rows, in blocks. Only k rows a
+query leave a pair of blocks.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows
 without an id; ties go to the smaller id; repeated ids are candidates as often as they occur, but never for a query of
-their own id, and ask once, with the least of their vectors; vectors of different lengths are compared over the common dimensions; extra columns are ignored.
+their own id, and ask once, with the least of their vectors; vectors of different lengths are compared over the common dimensions; extra columns are ignored; an empty table gives no rows. Scores must fit in 63 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.llm.common import materialize
+from stowage.llm.strings import ranges
+
 BLOCK = 8192  # vectors of an index block
 QUERIES = 512  # queries of a query block
-BLOCK_SCHEMA = "block long, n int, dims int, ids binary, vectors binary"
-
-
-def pack_blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Blocks of at most ``rows`` vectors (id, ints), numbered without gaps inside each split."""
+NO_FLOOR = -(1 << 63)
+LEVELS = 64
+BLOCK_SCHEMA = "block long, n int, dims int, longest double, ids binary, vectors binary, docs binary, edges binary, tops binary"
+PAIR_COLUMNS = ("q_block", "q_n", "q_dims", "q_ids", "q_vectors", "floors", "n", "dims", "longest", "ids", "vectors", "docs", "edges", "tops")
+EXACT = 2**53
+
+
+def segments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of the vectors ``x``: rows by dimension and falling impact, the segments' edges, and each segment's largest impact.
+
+    Segment s of a dimension holds impacts of s bits, so the highest come first from the back; zeros are no postings.
+    """
+    size = np.abs(x)
+    docs = np.argsort(-size, axis=0, kind="stable").T.astype(np.uint16 if len(x) <= 1 << 16 else np.uint32)
+    bits = np.zeros(x.shape, np.int64)
+    for k in range(LEVELS - 1):
+        bits += size >= 1 << k
+    edges = np.zeros((x.shape[1], LEVELS + 1), np.int64)  # postings above each level
+    for level in range(LEVELS):
+        edges[:, level] = (bits >= level).sum(axis=0)
+    tops = np.zeros((x.shape[1], LEVELS), np.int64)
+    for level in range(1, LEVELS):
+        tops[:, level] = np.where(bits == level, size, 0).max(axis=0, initial=0)
+    return docs, edges, tops
+
+
+def pack_blocks(vectors: DataFrame, rows: int, index: bool = True) -> DataFrame:
+    """Blocks of at most ``rows`` vectors (id, ints), numbered without gaps inside each split, the longest vectors first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -40,8 +70,11 @@ def pack_blocks(vectors: DataFrame, rows: int) -> DataFrame:
         def block(dims: int, pairs: list) -> pa.RecordBatch:
             nonlocal number
             number += 1
-            ids, flat = np.array([p[0] for p in pairs], "<i8"), np.array([p[1] for p in pairs], "<i8")
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (number - 1,)] + [pa.array([len(pairs)], pa.int32()), pa.array([dims], pa.int32()), pa.array([ids.tobytes()]), pa.array([flat.tobytes()])], ["block", "n", "dims", "ids", "vectors"])
+            ids, x = np.array([p[0] for p in pairs], "<i8"), np.array([p[1] for p in pairs], "<i8").reshape(len(pairs), dims)
+            parts = [p.tobytes() for p in segments(x)] if index else [None] * 3
+            values = [number - 1, len(pairs), dims, float(np.sqrt((x.astype(float) ** 2).sum(axis=1)).max()), ids.tobytes(), x.tobytes(), *parts]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [c.strip().split(" ")[0] for c in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
             for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -52,60 +85,78 @@ def pack_blocks(vectors: DataFrame, rows: int) -> DataFrame:
         for dims, pairs in held.items():
             yield block(dims, pairs)
 
-    return vectors.mapInArrow(run, BLOCK_SCHEMA)
-
-
-def segments(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each impact level from the highest on: the level's postings, and the norm of each vector's postings below it."""
-    size, out = np.abs(x), []
-    top = int(size.max(initial=0)).bit_length()
-    edges = [e for e in (top - 1, top - 2, top - 3) if e > 0] + [0]
-    above = np.inf
-    for edge in edges:
-        low = (1 << edge) if edge else 1
-        own = np.where((size >= low) & (size < above), x, 0).astype(np.float32)
-        rest = np.sqrt((np.where(size < low, x, 0).astype(float) ** 2).sum(axis=1))
-        out.append((own, rest))
-        above = low
-    return out
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, ids, scores) of the k best rows of ``x`` for every query, ties to the smaller id."""
-    dims = min(q.shape[1], x.shape[1])
-    q, x = q[:, :dims], x[:, :dims]
-    exact = np.abs(q).max(initial=0).astype(float) * np.abs(x).max(initial=0) * max(dims, 1) < 2**24
-    levels, norms = segments(x), np.sqrt((q.astype(float) ** 2).sum(axis=1))
-    for a in range(0, len(q), 64):
-        own, own_ids = q[a : a + 64], q_ids[a : a + 64]
-        self_pair = own_ids[:, None] == ids[None, :]
-        partial = np.zeros((len(own), len(ids)), np.float32 if exact else np.float64)
-        open_ = np.arange(len(own))
-        members: dict[int, np.ndarray] = {}
-        for postings, rest in levels:
-            partial[open_] += own[open_].astype(partial.dtype) @ postings.T.astype(partial.dtype, copy=False)
-            slack = (norms[a : a + 64][open_, None] * rest[None, :] * (1 + 1e-6) + (0 if exact else 1)).astype(np.float32)
-            lower, upper = partial[open_] - slack, partial[open_] + slack
-            lower[self_pair[open_]] = upper[self_pair[open_]] = -np.inf
-            if len(ids) > k:
-                bound = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k]
-            else:
-                bound = np.full(len(open_), -np.inf)
-            possible = (upper >= bound[:, None] - 1e-3) & ~self_pair[open_]
-            few, done = possible.sum(axis=1), not rest.any()
-            stop = (few <= 4 * k) | done
-            for row in np.flatnonzero(stop):
-                members[int(open_[row])] = np.flatnonzero(possible[row])
-            open_ = open_[~stop]
-            if not len(open_):
-                break
-        for row in range(len(own)):
-            at = members.get(row)
-            if at is None:
-                at = np.flatnonzero(~self_pair[row])
-            scores = x[at] @ own[row]
-            order = np.lexsort((ids[at], -scores))[:k]
-            yield np.full(len(order), own_ids[row]), ids[at][order], scores[order]
+    length = F.aggregate("ints", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
+    return vectors.select("id", "ints").sortWithinPartitions(length.desc(), "id").mapInArrow(run, BLOCK_SCHEMA)
+
+
+@dataclass
+class Block:
+    """An index block as it is searched."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    docs: np.ndarray
+    edges: np.ndarray
+    tops: np.ndarray
+    longest: float
+
+    @classmethod
+    def of(cls, ids: np.ndarray, x: np.ndarray) -> Block:
+        return cls(ids, x, *segments(x), float(np.sqrt((x.astype(float) ** 2).sum(axis=1)).max(initial=0)))
+
+    @classmethod
+    def read(cls, r: dict) -> Block:
+        n, dims = r["n"], r["dims"]
+        kind = np.uint16 if n <= 1 << 16 else np.uint32
+        whole = lambda name, t, shape: np.frombuffer(r[name], t).reshape(shape)
+        return cls(np.frombuffer(r["ids"], "<i8"), whole("vectors", "<i8", (n, dims)), whole("docs", kind, (dims, n)), whole("edges", np.int64, (dims, LEVELS + 1)), whole("tops", np.int64, (dims, LEVELS)), r["longest"])
+
+
+def search(q_id: int, q: np.ndarray, block: Block, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, scores, postings read) of the k best rows of the block for a query, ties to the smaller id.
+
+    Rows that score below ``floor`` may be left out: k rows elsewhere reach it.
+    """
+    dims, n = min(len(q), block.x.shape[1]), len(block.ids)
+    q, weight = q[:dims], np.abs(q[:dims])
+    largest = block.tops[:dims].max(axis=1)
+    reach = int(sum(int(w) * int(t) for w, t in zip(weight, largest, strict=True)))  # no score is larger
+    others = block.ids != q_id
+    if floor is not None and (reach < floor or np.sqrt((q.astype(float) ** 2).sum()) * block.longest * (1 + 1e-9) + 1 < floor):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    if reach >= EXACT:  # no bound is trusted: every row is scored in whole numbers
+        at = np.flatnonzero(others)
+        scores = np.array([sum(int(a) * int(b) for a, b in zip(q, row, strict=True)) for row in block.x[at][:, :dims]], object)
+        order = np.lexsort((block.ids[at], np.array([-v for v in scores], object).astype(np.int64)))[:k]
+        return block.ids[at][order], scores[order].astype(np.int64), n * dims
+    partial, read, x = np.zeros(n), 0, block.x
+    power = weight[:, None] * block.tops[:dims]  # what a segment can add
+    taken = np.zeros(power.shape, bool)
+    step = int(power.max(initial=0))
+    while True:
+        fresh = (power >= max(step, 1)) & ~taken
+        dim, level = np.nonzero(fresh)
+        taken |= fresh
+        if len(dim):
+            begins = block.edges[dim, level + 1]
+            sizes = block.edges[dim, level] - begins
+            docs = block.docs.ravel()[ranges(begins + dim * n, sizes)].astype(np.int64)
+            of = np.repeat(dim, sizes)
+            partial += np.bincount(docs, (q[of] * x[docs, of]).astype(float), n)
+            read += len(docs)
+        rest = float((np.where(taken, 0, power).max(axis=1, initial=0)).sum())
+        lower = np.where(others, partial - rest, -np.inf)
+        bound = np.partition(lower, n - k)[n - k] if n > k else -np.inf
+        if floor is not None:
+            bound = max(bound, floor)
+        possible = others & (partial + rest >= bound)
+        if rest == 0 or possible.sum() <= 2 * k:
+            break
+        step //= 4
+    at = np.flatnonzero(possible)
+    scores = x[at][:, :dims] @ q
+    order = np.lexsort((block.ids[at], -scores))[:k]
+    return block.ids[at][order], scores[order], read
 
 
 def integers(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -118,24 +169,38 @@ def integers(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, id, score): the ``k`` best other rows for each row where ``is_query`` holds."""
-    from stowage.llm.common import materialize
-
     index = materialize(pack_blocks(integers(vectors, key, vector, scale), BLOCK), "topk-index")
     asked = integers(vectors.where(is_query), key, vector, scale).groupBy("id").agg(F.min("ints").alias("ints"))
-    queries = pack_blocks(asked, QUERIES)
-    numbers = index.select("block").orderBy("block").agg(F.array_sort(F.collect_list("block")).alias("blocks"))  # one number a block
-    asked = queries.select(F.col("n").alias("q_n"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(numbers.scalar()).alias("block"))
-    # an equi-join of block rows: each index block with each query block
-    pairs = asked.join(index.hint("shuffle_hash"), "block")
+    queries = pack_blocks(asked, QUERIES, index=False)
+    queries = materialize(queries.select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in ("n", "dims", "ids", "vectors")]), "topk-queries")
+
+    def pairs(queries: DataFrame, numbers: DataFrame) -> DataFrame:
+        """An equi-join of block rows: each query block with the index blocks of these numbers."""
+        listed = numbers.agg(F.array_sort(F.collect_list("block")).alias("blocks"))  # one number a block
+        return queries.withColumn("block", F.explode(listed.scalar())).join(index.hint("shuffle_hash"), "block").select(*PAIR_COLUMNS)
+
+    def searched(r: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        q = np.frombuffer(r["q_vectors"], "<i8").reshape(r["q_n"], r["q_dims"])
+        floors = np.frombuffer(r["floors"], "<i8") if r["floors"] else [None] * len(q)
+        block = Block.read(r)
+        for q_id, own, floor in zip(np.frombuffer(r["q_ids"], "<i8").tolist(), q, floors, strict=True):
+            yield q_id, *search(q_id, own, block, k, None if floor is None or floor == NO_FLOOR else int(floor))[:2]
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = [int(scores[k - 1]) if len(scores) >= k else NO_FLOOR for _, _, scores in searched(r)]
+                yield pa.RecordBatch.from_arrays([pa.array([r["q_block"]]), pa.array([np.array(found, "<i8").tobytes()])], ["q_block", "floors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                q = np.frombuffer(r["q_vectors"], "<i8").reshape(r["q_n"], r["q_dims"])
-                x = np.frombuffer(r["vectors"], "<i8").reshape(r["n"], r["dims"])
-                found = list(search(np.frombuffer(r["q_ids"], "<i8"), q, np.frombuffer(r["ids"], "<i8"), x, k))
+                found = [(np.full(len(ids), q_id), ids, scores) for q_id, ids, scores in searched(r)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], ["query_id", "id", "score"])
 
-    best = pairs.select("q_n", "q_dims", "q_ids", "q_vectors", "n", "dims", "ids", "vectors").mapInArrow(run, "query_id long, id long, score long")
+    # the k-th best of one block is a floor for all others
+    head = index.agg(F.max_by("block", F.struct(F.col("n") > k, "longest", "block")).alias("block")).where("block is not null")
+    first = pairs(queries.withColumn("floors", F.lit(None).cast("binary")), head).mapInArrow(floors, "q_block long, floors binary")
+    best = pairs(queries.join(first, "q_block", "left"), index.select("block")).mapInArrow(run, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -260,15 +260,37 @@ def test_topk_equals_brute_force(spark):
 
 
 def test_topk_stops_only_on_proof():
+    """Same rows as brute force; of skewed vectors a part of the postings is read, and blocks of short vectors none."""
     rng = np.random.default_rng(2)
-    x, ids = rng.integers(-40, 40, (3000, 16)), np.arange(3000)
-    for query, found, scores in topk.search(ids[:70], x[:70], ids, x, 5):
-        break
-    all_found = list(topk.search(ids[:70], x[:70], ids, x, 5))
-    for query, found, scores in all_found:
-        q = int(query[0])
-        expected = sorted((-int(x[q] @ v), k) for k, v in enumerate(x) if k != q)[:5]
-        assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == expected
+    even, ids = rng.integers(-40, 40, (3000, 16)), np.arange(3000)
+    skewed = (even * rng.pareto(1.2, (3000, 1)) * (rng.random((3000, 16)) < 0.4)).astype(np.int64)
+    shares = {}
+    for name, x in (("even", even), ("skewed", skewed)):
+        block, read = topk.Block.of(ids, x), 0
+        for q in range(60):
+            found, scores, n = topk.search(q, x[q], block, 5)
+            expected = sorted((-int(x[q] @ v), k) for k, v in enumerate(x) if k != q)[:5]
+            assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == expected
+            read += n
+        shares[name] = read / 60 / np.count_nonzero(x)
+    assert shares["skewed"] < 0.5 and shares["even"] <= 1
+    short = topk.Block.of(ids, even // 20)
+    assert topk.search(-1, even[0], short, 5, floor=10**6)[2] == 0
+
+
+def test_topk_floor_keeps_ties():
+    x = np.array([[3, 4], [3, 4], [4, 3], [0, 1], [5, 0]])
+    block = topk.Block.of(np.arange(5), x)
+    found, scores, _ = topk.search(9, np.array([1, 1]), block, 2, floor=7)
+    assert found.tolist() == [0, 1] and scores.tolist() == [7, 7]
+
+
+def test_topk_huge_components_and_empty_table(spark):
+    rows = [(k, [float(v) * 2.0**28, 1.0], "clash") for k, v in enumerate((3, -5, 7, 7))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = [(r["query_id"], r["rank"], r["id"]) for r in topk.top_k(vectors, F.col("vec_id") == 0, k=2, scale=1).collect()]
+    assert sorted(got) == [(0, 1, 2), (0, 2, 3)]
+    assert topk.top_k(vectors.limit(0), F.lit(True)).count() == 0
 
 
 # ---- op8
