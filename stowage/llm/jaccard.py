@@ -37,7 +37,7 @@ ORDERS = 3
 ALL = (1 << ORDERS) - 1
 SMALL_RUN = 16  # nodes of a token whose pairs are all emitted
 FREQUENT = 100_000  # most shingles that the orders put last
-CHUNK = 1 << 21  # shingles counted at once for that list
+CHUNK = 1 << 22  # shingles counted at once for that list
 REPEATS = 4  # occurrences in a chunk from which a shingle is counted
 BUCKET_TOKENS = 1_000_000  # prefix tokens of a bucket, about
 FLUSH_TOKENS = 1 << 19
@@ -117,9 +117,13 @@ def _survey(words: int):
         seen, held, size = set(), [], 0
 
         def repeated():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts >= REPEATS
-            return tokens[keep].view(np.int64), counts[keep]
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()
+            often = np.flatnonzero(tokens[REPEATS - 1 :] == tokens[: len(tokens) - REPEATS + 1])
+            kept = np.unique(tokens[often])
+            counts = np.searchsorted(tokens, kept, "right") - np.searchsorted(tokens, kept)
+            return kept.view(np.int64), counts
 
         def block(ids, sizes, sets, sketches, tokens, counts):
             n, m = len(ids), len(tokens)
@@ -324,7 +328,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, sketches: Dat
 def _between(percent: int):
     """Pairs of one run, or of two blocks of it, that lie in different components and may link by their sketches."""
 
-    def pairs_of(rows: list[tuple], out: dict) -> None:
+    def pairs_of(rows: list[tuple], out: set) -> None:
         # (node, size, component, sketch, in the first block, in the second)
         found = []
         for node, size, component, raw, first, second in sorted(rows, key=lambda r: r[1]):
@@ -340,21 +344,21 @@ def _between(percent: int):
                     continue
                 far = (value ^ (value_b if bits == bits_b else half_b)).bit_count()
                 if far * (100 + percent) <= (n + m) * (100 - percent):
-                    out[(a, b) if a < b else (b, a)] = far
+                    out.add((a, b) if a < b else (b, a))
 
     def run(table: pa.Table) -> pa.Table:
-        rows, out = {}, {}
+        rows, out = {}, set()
         for token, *row in zip(*(table.column(c).to_pylist() for c in ("token", "node", "size", "component", "sketch", "first", "second")), strict=True):
             rows.setdefault(token, []).append(row)
         for own in rows.values():
             pairs_of(own, out)
-        return pa.table({"a": pa.array([k[0] for k in out], pa.int64()), "b": pa.array([k[1] for k in out], pa.int64()), "far": pa.array(out.values(), pa.int64())})
+        return pa.table({"a": pa.array([k[0] for k in out], pa.int64()), "b": pa.array([k[1] for k in out], pa.int64())})
 
     return run
 
 
 def _across(runs: DataFrame, found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, far) of large runs' nodes that lie in different components and may link by size and sketch.
+    """Pairs (a, b) of large runs' nodes that lie in different components and may link by size and sketch.
 
     In each run the nodes outside its main component meet all its nodes. Runs of more than BLOCK_NODES are dealt out in blocks, of
     which a node enters as many as the other side has.
@@ -371,8 +375,8 @@ def _across(runs: DataFrame, found: DataFrame, sketches: DataFrame, percent: int
     large, spread = mixed.where(F.col("columns") > 1), lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     first = large.where("component <> main").select(F.col("token").alias("bucket"), spread(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), *keys, F.lit(True).alias("first"), F.lit(False).alias("second"))
     second = large.select(F.col("token").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), spread(F.col("columns")).alias("j"), *keys, F.lit(False).alias("first"), F.lit(True).alias("second"))
-    met = small.union(first).union(second).groupBy("bucket", "i", "j").applyInArrow(_between(percent), "a long, b long, far long")
-    pairs = materialize(met.groupBy("a", "b").agg(F.min("far").alias("far")), "jaccard-cross")
+    met = small.union(first).union(second).groupBy("bucket", "i", "j").applyInArrow(_between(percent), "a long, b long")
+    pairs = materialize(met.distinct(), "jaccard-cross")
     discard(mixed)
     return pairs
 
@@ -410,30 +414,16 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     star = runs.join(heads, "token").where("node <> head.node").where(_sizes_fit("size", "head.size", percent)).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
     pairs = materialize(sure.union(more).union(star).distinct(), "jaccard-candidates")
     sketches = materialize(sets.where("sketch is not null").select("node", "sketch", F.col("n_shingles").alias("size")).dropDuplicates(["node"]), "jaccard-sketches")
-    # first one pair a node; of the others only those whose components still differ
-    links = _linked(pairs.groupBy("b").agg(F.min("a").alias("a")), docs, members, sketches, words, percent)
-    found = materialize(components(links), "jaccard-components")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        side = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
-        named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return named.withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")}).where("of_a <> of_b")
-
-    links = links.union(_linked(apart(pairs).select("a", "b"), docs, members, sketches, words, percent)).distinct()
+    links = _linked(pairs, docs, members, sketches, words, percent)
     found = materialize(components(links), "jaccard-components")
 
     cross = _across(runs, found, sketches, percent)
     small = met.where("bits > 0").groupBy("a", "b").agg(F.expr("bit_or(bits)").alias("bits"))
     held = lambda s: hot.select(F.col("node").alias(s), F.col("held").alias(f"held_{s}"))
     seen = F.coalesce("bits", F.lit(0)).bitwiseOR(F.lit(1)).bitwiseOR(F.coalesce(F.col("held_a").bitwiseAND(F.col("held_b")), F.lit(0)))
-    cross = materialize(cross.join(small, ["a", "b"], "left").join(held("a"), "a", "left").join(held("b"), "b", "left").where(seen == ALL).select("a", "b", "far"), "jaccard-leftover")
-    # the nearest pair of each node and component first
-    nearest = apart(cross).groupBy("a", "of_b").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select("a", "b")
-    for chosen in (nearest, None):
-        left = chosen if chosen is not None else apart(cross).select("a", "b")
-        more = _linked(left, docs, members, None, words, percent)
-        links = links.union(more)
-        found = materialize(components(links), "jaccard-components")
+    cross = materialize(cross.join(small, ["a", "b"], "left").join(held("a"), "a", "left").join(held("b"), "b", "left").where(seen == ALL).select("a", "b"), "jaccard-leftover")
+    links = links.union(_linked(cross, docs, members, None, words, percent))
+    found = materialize(components(links), "jaccard-components")
     discard(met)
 
     least = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
