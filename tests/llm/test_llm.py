@@ -373,11 +373,12 @@ def test_tree_is_complete_and_counts_are_those_of_its_nodes():
     rng = np.random.default_rng(3)
     tree, number = mixing.Tree.build(rng.integers(1, 100, 50))
     assert sum(2.0**-n for n in tree.lengths) == 1 and sorted(number) == list(range(50))
-    keys = np.unique(rng.integers(0, 6, 120).astype(np.uint64) << np.uint64(mixing.SYM_BITS) | rng.integers(0, 50, 120).astype(np.uint64))
+    low = np.uint64(64 - 40 - mixing.SYM_BITS)
+    keys = np.unique(rng.integers(0, 6, 120).astype(np.uint64) << np.uint64(64 - 40) | rng.integers(0, 50, 120).astype(np.uint64) << low)
     counts = rng.integers(0, 4, len(keys))
-    lengths, cells = mixing._paths(keys, counts, tree, 0, mixing.TOP)
+    lengths, cells = mixing._paths(keys, counts, tree, mixing.TOP, 40)
     path = lambda s: [int(tree.codes[s]) >> (mixing.TOP - 1 - d) & 1 for d in range(tree.lengths[s])]
-    split = [(int(k) >> mixing.SYM_BITS, path(int(k) & ((1 << mixing.SYM_BITS) - 1))) for k in keys]
+    split = [(int(k) >> 24, path(int(k) >> int(low) & ((1 << mixing.SYM_BITS) - 1))) for k in keys]
     at = 0
     for (context, own), n in zip(split, lengths, strict=True):
         expected = []
@@ -386,7 +387,7 @@ def test_tree_is_complete_and_counts_are_those_of_its_nodes():
             total = sum(c for _, c in below)
             if not total:
                 break
-            expected.append(int(mixing._quantised(np.array([sum(c for p, c in below if p[d])]), np.array([total]))[0]))
+            expected.append(int(mixing._quantised(np.array([sum(c for p, c in below if p[d] == own[d])]), np.array([total]))[0]))
         assert n == len(expected) and cells[at : at + n].tolist() == expected
         at += n
 
