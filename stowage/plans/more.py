@@ -657,5 +657,10 @@ def queries() -> dict:
     return dict(ALL)
 
 
+SQL["can_read"] = f"""with {FILES}, b as (select pos, encode(content) as b, octet_length(encode(content)) as n from files)
+ select pos, n >= 512 and array_slice(b, n - 511, n - 508) = 'koly'::blob as dmg, n >= 34816 and array_slice(b, 32770, 32774) = 'CD001'::blob as iso,
+ n >= 512 and array_slice(b, n - 511, n - 504) = 'conectix'::blob as vhd, n between 368640 and 10485760 and n % 512 = 0 as img, n between 65536 and 10737418240 as raw from b"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
