@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only on one machine where it is unset, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="stowage-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
@@ -64,3 +67,9 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
 def in_fold(doc_id: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's decimal text leaves ``remainder``; a null id is in no fold."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
+
+
+def in_sample(doc_id: str, asked: int, rows: int) -> Column:
+    """Whether the id's hash draws it into a sample of about ``asked`` of ``rows`` rows; the share is told in parts of 2**62, so it is no zero at any size."""
+    share = (1 << 62) * min(asked, max(rows, 1)) // max(rows, 1)
+    return F.shiftrightunsigned(F.xxhash64(doc_id), 2) < F.lit(share)

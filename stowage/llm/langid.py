@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.common import in_sample
+
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 20_000  # most labelled documents, in expectation, that a model is fitted on
 CHUNK = 1 << 20  # characters scored at once
@@ -96,8 +98,7 @@ def fit(docs: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS) -> Model
     langs, rows = sorted(per_lang), sum(per_lang.values())
     if not rows:
         return Model([], np.zeros((0, BUCKETS + 1), np.float32), np.zeros(0))
-    share = int(min(1.0, sample_docs / rows) * 1_000_000)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    sample = labelled.where(in_sample("doc_id", sample_docs, rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(langs), BUCKETS + 1), np.int64)

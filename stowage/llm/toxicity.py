@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.common import in_sample
+
 SAMPLE_DOCS = 20_000  # most labelled documents, in expectation, that the fits read
-LEARNED_WORDS = 2_000  # most words whose weight is learned
 LEAST_TOXIC = 8  # toxic documents that a learned word occurs in, at least
 LEAST_ODDS = 3.0  # its least log odds
 NEGATION_REACH = 4  # words that a negation reaches over
@@ -143,8 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = SA
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
     own = docs.where(train).select("doc_id", "text")
     rows = marked.where(train).count()
-    share = int(min(1.0, sample_docs / max(rows, 1)) * 1_000_000)
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share
+    drawn = in_sample("doc_id", sample_docs, rows)
     # about sample_docs label rows at most, so that no text is shuffled
     sample = own.where(drawn).join(F.broadcast(marked.where(train & drawn)), "doc_id").select("text", "y")
     start = Grammar({w: 1.0 for w in INSULTS} | {w: 1.5 for w in THREATS})
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = SA
         return start
     odds = F.log((F.col("bad") + 0.5) / (totals["bad"] + 1)) - F.log((F.col("good") + 0.5) / (totals["good"] + 1))
     learned = counted.where(f"word <> '' and bad >= {LEAST_TOXIC}").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    best = learned.orderBy(F.desc("odds"), "word").limit(LEARNED_WORDS).collect()
+    best = learned.collect()  # words of the bounded sample
     other = NEGATIONS | REPORTS | TARGETS
     grammar = Grammar(start.weights | {r["word"]: r["odds"] / 3 for r in best if r["word"] not in other})
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
