@@ -308,3 +308,45 @@ def test_wrong_algorithm_is_not_sha256(spark):
     checked = store.validity(F.col("c"), F.md5("c"), F.lit("md5"), ("md5",))
     row = spark.createDataFrame([("abc",)], "c string").select(checked.alias("v")).first()["v"]
     assert row["is_valid"] and row["warnings"] == []
+
+
+def scanned(root, **options):
+    from stowage.sources.fsentries import FsReader
+
+    reader = FsReader({"path": str(root), **options})
+    return {r[0]: r[2] for p in reader.partitions() for r in reader.read(p)}
+
+
+def test_scan_options(tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "f").write_text("x")
+    (tmp_path / "a" / "up").symlink_to(tmp_path)
+    (tmp_path / "to_b").symlink_to(tmp_path / "a" / "b")
+    (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
+    plain = {"a": "directory", "a/b": "directory", "a/b/f": "file", "a/up": "symlink", "to_b": "symlink", "gone": "symlink"}
+    assert scanned(tmp_path) == plain
+    (tmp_path / "a" / "b" / "host").symlink_to("/etc/hostname")
+    assert "to_b" not in scanned(tmp_path, followlinks="true") and scanned(tmp_path, followlinks="true")["a/b/host"] == "file"
+    followed = scanned(tmp_path, followlinks="true", followfolders="true", insideonly="true")
+    (tmp_path / "a" / "b" / "host").unlink()
+    assert followed == {"a": "directory", "a/b": "directory", "a/b/f": "file", "to_b": "directory", "to_b/f": "file", "gone": "symlink"}
+    with pytest.raises(ValueError, match="broken link"):
+        scanned(tmp_path, erroronbrokenlinks="true")
+    for k in range(20):
+        (tmp_path / f"n{k}").mkdir()
+    assert scanned(tmp_path) == plain | {f"n{k}": "directory" for k in range(20)}
+
+
+def test_scan_leaves_out_what_may_not_be_read(tmp_path, monkeypatch):
+    (tmp_path / "a").mkdir()
+    listed = os.listdir
+
+    def refuse(path):
+        if str(path).endswith("/a"):
+            raise PermissionError(path)
+        return listed(path)
+
+    monkeypatch.setattr(os, "listdir", refuse)
+    with pytest.raises(PermissionError):
+        scanned(tmp_path)
+    assert scanned(tmp_path, skippermissionerrors="true") == {"a": "directory"}
