@@ -2,7 +2,9 @@
 
 Each stage takes what its predecessor kept and returns the columns of documents; the last returns packed pieces.
 ``doc_id`` names a document: rows that repeat an id are one document for the duplicate stage. Rows with a null id
-are kept by every filter that cannot judge them.
+are kept by every filter that cannot judge them. Null and empty texts have no language, so the first stage drops them; very long
+texts are read whole by every stage. An empty table gives no rows. Columns that an operator would add under a clashing name are
+the documents' own again at the end of each stage; ties between copies go to the smallest id.
 """
 
 from __future__ import annotations
