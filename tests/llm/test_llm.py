@@ -577,3 +577,27 @@ def test_pii_many_matches_in_one_text(spark):
     text = " ".join(f"a{k}@example.com" for k in range(3000))
     row = pii.summary(pii.find(frame(spark, [text]))).first()
     assert row["n_email"] == 3000 and row["base_sha256"] == hashlib.sha256(",".join(brute_spans(text)).encode()).hexdigest()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, copies, repeated ids, a benchmark text, personal data, a clashing column, and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    good = [prose(80, rng) for _ in range(30)]
+    item = prose(30, rng)
+    long = prose(9000, rng)
+    texts = [*good, good[3], good[4] + " more", None, "", "12 34 !!", "intro " + item + " outro", "mail some.one@example.com " + good[5][::-1], long]
+    rows = [(k, t, "en", "src0", len(t or ""), 1.0) for k, t in enumerate(texts)] + [(7, good[7], "en", "src0", 1, 1.0), (None, prose(50, rng), "en", "src0", 1, 1.0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double"
+    spark.createDataFrame([(0, item), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r["doc_id"] for r in pieces}
+    assert kept >= {*range(30), 36, 37, None} and not kept & {30, 31, 32, 33, 34, 35}
+    assert sum(r["start"] == 0 for r in pieces if r["doc_id"] == 7) == 1
+    masked = corpus_pipeline.private_data(spark, docs.where("doc_id = 36"), str(tmp_path)).first()
+    assert masked["text"].startswith("mail [EMAIL] ") and masked["n_chars"] == len(masked["text"])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
