@@ -54,14 +54,24 @@ def _report(state: int, symbol: int) -> tuple[int, float]:
     return (1 if symbol == REPORT else state), 0.5 if state else 1.0
 
 
+def _insult(state: int, symbol: int) -> tuple[int, float]:
+    """What follows an insult in its clause weighs more."""
+    return (1 if symbol == INSULT else state), 1.2 if state and symbol == INSULT else 1.0
+
+
+def _threat(state: int, symbol: int) -> tuple[int, float]:
+    """A threat makes the insults and threats after it in the clause weigh more."""
+    return (1 if symbol == THREAT else state), 1.2 if state else 1.0
+
+
 def _target(state: int, symbol: int) -> tuple[int, float]:
     return (1 if symbol == TARGET else state), (1.25 if state else 1.0) if symbol == INSULT else (1.0 if state else 0.4)
 
 
 def compose() -> dict[tuple[int, int], tuple[int, float]]:
     """(state, symbol) -> (next state, factor of a weight emitted there) of the product transducer."""
-    parts, table = (_negation, _report, _target), {}
-    for states in product((0, 1), repeat=3):
+    parts, table = (_negation, _report, _target, _insult, _threat), {}
+    for states in product((0, 1), repeat=len(parts)):
         for symbol in range(6):
             steps = [f(s, symbol) for f, s in zip(parts, states, strict=True)]
             emits = symbol in (INSULT, THREAT)
@@ -70,10 +80,14 @@ def compose() -> dict[tuple[int, int], tuple[int, float]]:
 
 
 def _number(states) -> int:
-    return states[0] * 4 + states[1] * 2 + states[2]
+    number = 0
+    for s in states:
+        number = 2 * number + s
+    return number
 
 
 TABLE = compose()
+NEGATED = 16  # states from here on are under a negation
 FEATURES = 6
 
 
@@ -104,7 +118,7 @@ class Grammar:
             if found is None:
                 continue
             symbol, weight = found
-            if state >= 4 and at - reached > NEGATION_REACH:
+            if state >= NEGATED and at - reached > NEGATION_REACH:
                 state = TABLE[state, GAP][0]
             state, factor = TABLE[state, symbol]
             total += weight * factor

@@ -221,6 +221,28 @@ def test_grammar_reads_clauses():
     assert score("you idiot") > score("an idiot") > score("he said idiot things") > 0
     assert score("not an idiot") < score("an idiot") and score("not so. an idiot") == score("an idiot")
     assert score("kill you") < score("you kill") and score(None) == score("") == 0
+    assert score("an idiot idiot") > 2 * score("an idiot") and score("i kill an idiot") > score("i kill") + score("an idiot")
+
+
+def test_grammar_equals_transducers_run_apart():
+    """The composed table scores a clause as its parts do, one after another."""
+    rng, grammar = random.Random(8), toxicity.Grammar({"idiot": 1.0, "kill": 1.5})
+    words = {"idiot": toxicity.INSULT, "kill": toxicity.THREAT, "you": toxicity.TARGET, "not": toxicity.NEGATION, "said": toxicity.REPORT, "table": None}
+    weights = {"idiot": 1.0, "kill": 1.5}
+    for _ in range(300):
+        clause = [rng.choice(list(words)) for _ in range(rng.randint(1, 9))]
+        states, total, reached = [0] * 5, 0.0, None
+        parts = (toxicity._negation, toxicity._report, toxicity._target, toxicity._insult, toxicity._threat)
+        for at, word in enumerate(clause):
+            if words[word] is None:
+                continue
+            if states[0] and at - reached > toxicity.NEGATION_REACH:
+                states = [f(s, toxicity.GAP)[0] for f, s in zip(parts, states, strict=True)]
+            steps = [f(s, words[word]) for f, s in zip(parts, states, strict=True)]
+            states = [s for s, _ in steps]
+            total += weights.get(word, 0.0) * math.prod(w for _, w in steps)
+            reached = at if word == "not" else reached
+        assert sum(grammar.clauses(" ".join(clause))[0]) == pytest.approx(total)
 
 
 def test_toxicity_learns_labels(spark):
