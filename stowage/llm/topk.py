@@ -9,8 +9,13 @@ read; these are rescored exactly. Blocks whose longest vector cannot reach it ar
 descending length, so that skewed lengths leave most blocks unread. All sums are integers below 2**53, so bounds are proofs; where
 components are too large for that, nothing is skipped and scores are added up exactly.
 
-Query blocks visit index blocks through a join on the block's number: a stated query set against all rows, in blocks. Only k rows a
-query leave a pair of blocks.
+The queries of a block read an index block together: they take its segments level by level, in falling impact, and a level's segments
+are added up as one product in floats that hold every sum exactly. How far they must read is told by the lengths of what the rows hold
+below each level; rows that can still reach their query's floor are rescored. Where hardly any posting has to be read, each query
+reads its own, as above.
+
+Query blocks visit index blocks through a join on the block's number: a stated query set against all rows, in blocks. A task merges
+what its pairs of blocks find and raises the floors by it; only k rows a query leave it.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows
 without an id; ties go to the smaller id; repeated ids are candidates as often as they occur, but never for a query of
@@ -30,36 +35,75 @@ from pyspark.sql import functions as F
 from stowage.llm.common import materialize
 from stowage.llm.strings import ranges
 
-BLOCK = 8192  # vectors of an index block
-QUERIES = 512  # queries of a query block
+BLOCK = 16384  # vectors of an index block
+QUERIES = 4096  # queries of a query block
+TILE = 1 << 21  # scores of a product
+HELD = 64  # query blocks whose best rows a task holds
 NO_FLOOR = -(1 << 63)
 LEVELS = 64
-BLOCK_SCHEMA = "block long, n int, dims int, longest double, ids binary, vectors binary, docs binary, edges binary, tops binary"
-PAIR_COLUMNS = ("q_block", "q_n", "q_dims", "q_ids", "q_vectors", "floors", "n", "dims", "longest", "ids", "vectors", "docs", "edges", "tops")
+BLOCK_SCHEMA = "block long, n int, dims int, longest double, ids binary, vectors binary, docs binary, edges binary, tops binary, rests binary"
+PAIR_COLUMNS = ("q_block", "q_n", "q_dims", "q_ids", "q_vectors", "floors", "n", "dims", "longest", "ids", "vectors", "docs", "edges", "tops", "rests")
 EXACT = 2**53
+EXACT_FLOAT32 = 2**24
+FEW = 512  # a posting read by itself costs as much as so many in a product
+
 
+def levels(x: np.ndarray) -> np.ndarray:
+    """Each component's segment: the bits of its impact."""
+    size = np.abs(x)
+    bits = np.zeros(x.shape, np.uint8)
+    for k in range(int(size.max(initial=0)).bit_length()):
+        bits += size >= 1 << k
+    return bits
 
-def segments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Postings of the vectors ``x``: rows by dimension and falling impact, the segments' edges, and each segment's largest impact.
+
+def segments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of the vectors ``x``: rows by dimension and falling impact, the segments' edges, each segment's largest impact, and for each
+    level the largest length of what a row holds below it.
 
     Segment s of a dimension holds impacts of s bits, so the highest come first from the back; zeros are no postings.
     """
-    size = np.abs(x)
-    docs = np.argsort(-size, axis=0, kind="stable").T.astype(np.uint16 if len(x) <= 1 << 16 else np.uint32)
-    bits = np.zeros(x.shape, np.int64)
-    for k in range(LEVELS - 1):
-        bits += size >= 1 << k
+    size, bits = np.abs(x), levels(x)
+    narrow = size.astype(np.int16) if size.max(initial=0) < 1 << 15 else size
+    docs = np.argsort(-narrow, axis=0, kind="stable").T.astype(np.uint16 if len(x) <= 1 << 16 else np.uint32)
     edges = np.zeros((x.shape[1], LEVELS + 1), np.int64)  # postings above each level
-    for level in range(LEVELS):
-        edges[:, level] = (bits >= level).sum(axis=0)
     tops = np.zeros((x.shape[1], LEVELS), np.int64)
-    for level in range(1, LEVELS):
+    rests = np.zeros(LEVELS + 1)
+    squares = x.astype(float) ** 2
+    edges[:, 0] = len(x)
+    for level in range(1, int(bits.max(initial=0)) + 1):
+        edges[:, level] = (bits >= level).sum(axis=0)
         tops[:, level] = np.where(bits == level, size, 0).max(axis=0, initial=0)
-    return docs, edges, tops
+    for level in range(1, LEVELS + 1):
+        if level > int(bits.max(initial=0)) + 1:
+            rests[level] = rests[level - 1]
+            continue
+        rests[level] = np.sqrt(np.where(bits < level, squares, 0).sum(axis=1).max(initial=0))
+    return docs, edges, tops, rests
+
+
+def by_length(lists: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(components, rows, matrix) for each number of components."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    sizes, flat = np.diff(offsets), lists.values.to_numpy()
+    for dims in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == dims)
+        yield dims, rows, flat[(offsets[rows][:, None] + np.arange(dims)).ravel()].reshape(len(rows), dims)
+
+
+def narrowest(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest integers that hold them."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def matrix(stored: bytes, n: int, dims: int) -> np.ndarray:
+    """What ``narrowest`` wrote, in 64 bits."""
+    return np.frombuffer(stored, f"<i{len(stored) // (n * dims)}").reshape(n, dims).astype(np.int64)
 
 
 def pack_blocks(vectors: DataFrame, rows: int, index: bool = True) -> DataFrame:
-    """Blocks of at most ``rows`` vectors (id, ints), numbered without gaps inside each split, the longest vectors first."""
+    """Blocks of at most ``rows`` vectors (id, ints), numbered without gaps inside each split, the longest vectors first; by id inside a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -67,23 +111,28 @@ def pack_blocks(vectors: DataFrame, rows: int, index: bool = True) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         held: dict[int, list] = {}
 
-        def block(dims: int, pairs: list) -> pa.RecordBatch:
+        def block(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             nonlocal number
             number += 1
-            ids, x = np.array([p[0] for p in pairs], "<i8"), np.array([p[1] for p in pairs], "<i8").reshape(len(pairs), dims)
-            parts = [p.tobytes() for p in segments(x)] if index else [None] * 3
-            values = [number - 1, len(pairs), dims, float(np.sqrt((x.astype(float) ** 2).sum(axis=1)).max()), ids.tobytes(), x.tobytes(), *parts]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.binary()] * 5]
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            parts = [p.tobytes() for p in segments(x)] if index else [None] * 4
+            values = [number - 1, len(ids), x.shape[1], float(np.sqrt((x.astype(float) ** 2).sum(axis=1)).max()), ids.astype("<i8").tobytes(), narrowest(x).tobytes(), *parts]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [c.strip().split(" ")[0] for c in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = held.setdefault(len(pair[1]), [])
-                own.append(pair)
-                if len(own) == rows:
-                    yield block(len(pair[1]), held.pop(len(pair[1])))
-        for dims, pairs in held.items():
-            yield block(dims, pairs)
+            ids = batch.column(0).to_numpy()
+            for dims, at, x in by_length(batch.column(1)):
+                own = held.setdefault(dims, [])
+                own.append((ids[at], narrowest(x)))
+                while sum(len(i) for i, _ in own) >= rows:
+                    ids_, x_ = np.concatenate([i for i, _ in own]), np.concatenate([v for _, v in own])
+                    yield block(ids_[:rows], x_[:rows].astype(np.int64))
+                    own[:] = [(ids_[rows:], x_[rows:])] if len(ids_) > rows else []
+        for own in held.values():
+            if own:
+                yield block(np.concatenate([i for i, _ in own]), np.concatenate([v for _, v in own]).astype(np.int64))
 
     length = F.aggregate("ints", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
     return vectors.select("id", "ints").sortWithinPartitions(length.desc(), "id").mapInArrow(run, BLOCK_SCHEMA)
@@ -98,6 +147,7 @@ class Block:
     docs: np.ndarray
     edges: np.ndarray
     tops: np.ndarray
+    rests: np.ndarray
     longest: float
 
     @classmethod
@@ -109,7 +159,8 @@ class Block:
         n, dims = r["n"], r["dims"]
         kind = np.uint16 if n <= 1 << 16 else np.uint32
         whole = lambda name, t, shape: np.frombuffer(r[name], t).reshape(shape)
-        return cls(np.frombuffer(r["ids"], "<i8"), whole("vectors", "<i8", (n, dims)), whole("docs", kind, (dims, n)), whole("edges", np.int64, (dims, LEVELS + 1)), whole("tops", np.int64, (dims, LEVELS)), r["longest"])
+        x = matrix(r["vectors"], n, dims)
+        return cls(np.frombuffer(r["ids"], "<i8"), x, whole("docs", kind, (dims, n)), whole("edges", np.int64, (dims, LEVELS + 1)), whole("tops", np.int64, (dims, LEVELS)), whole("rests", float, LEVELS + 1), r["longest"])
 
 
 def search(q_id: int, q: np.ndarray, block: Block, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -159,6 +210,82 @@ def search(q_id: int, q: np.ndarray, block: Block, k: int, floor: int | None = N
     return block.ids[at][order], scores[order], read
 
 
+def best_rows(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each row, ties to the smaller id; in the order of rows and ranks."""
+    order = np.lexsort((ids, -scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    return row[rank < k], ids[rank < k], scores[rank < k]
+
+
+def search_all(q_ids: np.ndarray, q: np.ndarray, block: Block, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, id, score) of at least the k best rows of the block for each of the queries that reach their floor.
+
+    Segments are read for all queries together, in falling order of their impacts, as one product with the rows' components of these
+    segments. Levels are read until what the rows hold below them, by their length, adds little to the floors; rows that can reach their
+    floor are rescored. Few postings are read one by one (``search``). Of evenly spread vectors all levels are read, and scores are whole.
+    """
+    dims = min(q.shape[1], block.x.shape[1])
+    x = block.x[:, :dims]
+    q = q[:, :dims]
+    norms = np.sqrt((q.astype(float) ** 2).sum(axis=1))
+    asked = np.flatnonzero((floors == NO_FLOOR) | (norms * block.longest * (1 + 1e-9) + 1 >= floors))
+    if not len(asked):
+        return (np.zeros(0, np.int64),) * 3
+    widest = np.maximum(q.max(axis=0, initial=0).astype(object), -(q.min(axis=0, initial=0).astype(object)))
+    reach = int(sum(int(w) * int(t) for w, t in zip(widest, block.tops[:dims].max(axis=1), strict=True)))
+    least = floors[asked].min()
+    level = 0
+    if least > 0:
+        light = norms[asked].max() * block.rests <= least / 4
+        level = int(np.flatnonzero(light).max())  # rests[0] is 0
+    postings = int(block.edges[:dims, max(level, 1)].sum())
+    if reach >= EXACT or level > 1 and postings * FEW <= len(x) * dims:
+        found = [(at, *search(int(q_ids[at]), q[at], block, k, None if floors[at] == NO_FLOOR else int(floors[at]))[:2]) for at in asked.tolist()]
+        return np.repeat(asked, [len(ids) for _, ids, _ in found]), np.concatenate([ids for _, ids, _ in found]), np.concatenate([s for _, _, s in found])
+    kind = np.float32 if reach < EXACT_FLOAT32 else np.float64
+    some = np.flatnonzero(block.edges[:dims, max(level, 1)])  # dimensions with such segments
+    part = x[:, some]
+    if level > 1:
+        part = np.where(levels(part) >= level, part, 0)
+    part = part.T.astype(kind, order="C")
+    slack = norms * block.rests[level] * (1 + 1e-6) + 1 if level > 1 else np.zeros(len(q))
+    own = np.searchsorted(block.ids, q_ids, "left"), np.searchsorted(block.ids, q_ids, "right")
+    rows, ids, scores = [], [], []
+    step = max(1, TILE // len(x))
+    for begin in range(0, len(asked), step):
+        at = asked[begin : begin + step]
+        sums = q[at][:, some].astype(kind) @ part
+        for i in np.flatnonzero(own[1][at] > own[0][at]).tolist():
+            sums[i, own[0][at[i]] : own[1][at[i]]] = -np.inf
+        least_sum = np.where(floors[at] == NO_FLOOR, -float(EXACT), floors[at] - slack[at])
+        if len(x) > k:
+            for i in np.flatnonzero(floors[at] == NO_FLOOR).tolist():
+                least_sum[i] = max(least_sum[i], float(np.partition(sums[i], len(x) - k)[len(x) - k]) - 2 * slack[at[i]])
+        reached = sums >= np.floor(least_sum).astype(kind)[:, None]  # sums are whole; a rounded bound only falls
+        if level <= 1:
+            counts = reached.sum(axis=1)
+            for i in np.flatnonzero(counts > 8 * k).tolist():  # many copies: of equal scores the first ids
+                bound = np.partition(sums[i], len(x) - k)[len(x) - k]
+                above = np.flatnonzero(sums[i] > bound)
+                reached[i] = False
+                reached[i, above] = True
+                reached[i, np.flatnonzero((sums[i] == bound) & (bound > -np.inf))[: k - len(above)]] = True
+        i, j = np.nonzero(reached)
+        if level > 1:
+            parts = [np.einsum("ij,ij->i", q[at[i[o : o + TILE // 64]]], x[j[o : o + TILE // 64]]) for o in range(0, len(i), TILE // 64)]
+            exact = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            kept = (exact >= floors[at][i]) & (sums[i, j] > -np.inf)
+            i, j, exact = i[kept], j[kept], exact[kept]
+        else:
+            exact = sums[i, j].astype(np.int64)
+        rows.append(at[i])
+        ids.append(block.ids[j])
+        scores.append(exact)
+    return np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
+
+
 def integers(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     """(id, ints): floor(scale * component) of the rows that take part."""
     x = F.col(vector)
@@ -179,28 +306,49 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
         listed = numbers.agg(F.array_sort(F.collect_list("block")).alias("blocks"))  # one number a block
         return queries.withColumn("block", F.explode(listed.scalar())).join(index.hint("shuffle_hash"), "block").select(*PAIR_COLUMNS)
 
-    def searched(r: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        q = np.frombuffer(r["q_vectors"], "<i8").reshape(r["q_n"], r["q_dims"])
-        floors = np.frombuffer(r["floors"], "<i8") if r["floors"] else [None] * len(q)
-        block = Block.read(r)
-        for q_id, own, floor in zip(np.frombuffer(r["q_ids"], "<i8").tolist(), q, floors, strict=True):
-            yield q_id, *search(q_id, own, block, k, None if floor is None or floor == NO_FLOOR else int(floor))[:2]
+    def asked_of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        given = np.frombuffer(r["floors"], "<i8") if r["floors"] else np.full(r["q_n"], NO_FLOOR)
+        return np.frombuffer(r["q_ids"], "<i8"), matrix(r["q_vectors"], r["q_n"], r["q_dims"]), given
 
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for r in batch.to_pylist():
-                found = [int(scores[k - 1]) if len(scores) >= k else NO_FLOOR for _, _, scores in searched(r)]
-                yield pa.RecordBatch.from_arrays([pa.array([r["q_block"]]), pa.array([np.array(found, "<i8").tobytes()])], ["q_block", "floors"])
+            for at in range(batch.num_rows):
+                yield batch.slice(at, 1).to_pylist()[0]
+
+    def kth(n: int, row: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The k-th best score of each of n rows, in their order of ranks; of fewer no floor."""
+        out = np.full(n, NO_FLOOR)
+        first = np.searchsorted(row, np.arange(n))
+        full = np.searchsorted(row, np.arange(n), "right") - first >= k
+        out[full] = scores[first[full] + k - 1]
+        return out
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in one_by_one(batches):
+            q_ids, q, given = asked_of(r)
+            row, _, scores = best_rows(*search_all(q_ids, q, Block.read(r), k, given), k)
+            yield pa.RecordBatch.from_arrays([pa.array([r["q_block"]]), pa.array([kth(len(q), row, scores).astype("<i8").tobytes()])], ["q_block", "floors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                found = [(np.full(len(ids), q_id), ids, scores) for q_id, ids, scores in searched(r)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], ["query_id", "id", "score"])
+        held: dict[int, tuple] = {}  # query block: its ids, rows, found ids, scores
+
+        def rows(q_ids: np.ndarray, row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (q_ids[row], ids, scores)], ["query_id", "id", "score"])
+
+        for r in one_by_one(batches):
+            q_ids, q, given = asked_of(r)
+            before = held.pop(r["q_block"], (q_ids, *[np.zeros(0, np.int64)] * 3))
+            found = search_all(q_ids, q, Block.read(r), k, np.maximum(given, kth(len(q), before[1], before[3])))
+            held[r["q_block"]] = (q_ids, *best_rows(*(np.concatenate(c) for c in zip(before[1:], found, strict=True)), k))
+            if len(held) > HELD:
+                yield rows(*held.pop(next(iter(held))))
+        for own in held.values():
+            yield rows(*own)
 
     # the k-th best of one block is a floor for all others
     head = index.agg(F.max_by("block", F.struct(F.col("n") > k, "longest", "block")).alias("block")).where("block is not null")
-    first = pairs(queries.withColumn("floors", F.lit(None).cast("binary")), head).mapInArrow(floors, "q_block long, floors binary")
+    unknown = queries.withColumn("floors", F.lit(None).cast("binary"))
+    first = unknown.crossJoin(F.broadcast(index.join(F.broadcast(head), "block", "left_semi"))).select(*PAIR_COLUMNS).mapInArrow(floors, "q_block long, floors binary")
     best = pairs(queries.join(first, "q_block", "left"), index.select("block")).mapInArrow(run, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -307,6 +308,34 @@ def test_topk_floor_keeps_ties():
     assert found.tolist() == [0, 1] and scores.tolist() == [7, 7]
 
 
+def test_topk_queries_read_a_block_together():
+    """Same rows as brute force for even, skewed, sparse, repeated and huge components, with and without floors; a block of queries in one go."""
+    rng = np.random.default_rng(4)
+    even = rng.integers(-40, 40, (1500, 12))
+    kinds = {
+        "even": even,
+        "skewed": (even * rng.pareto(0.7, (1500, 1))).astype(np.int64),
+        "sparse": np.where(rng.random(even.shape) < 0.02, even * 1000, even // 16),
+        "copies": np.where(rng.random((1500, 1)) < 0.5, even[:1], even),
+        "huge": even * 2**23,
+    }
+    ids, k = np.sort(rng.integers(0, 3000, 1500)), 20
+    for name, x in kinds.items():
+        block, asked = topk.Block.of(ids, x), rng.integers(0, 1500, 40)
+        expected = []
+        for q in asked:
+            scores = x @ x[q]
+            expected.append([(int(ids[i]), int(scores[i])) for i in np.lexsort((ids, -scores)) if ids[i] != ids[q]][:k])
+        for floors in (np.full(40, topk.NO_FLOOR), np.array([e[-1][1] for e in expected])):
+            row, found, scores = topk.best_rows(*topk.search_all(ids[asked], x[asked], block, k, floors), k)
+            for q, e in enumerate(expected):
+                assert list(zip(found[row == q].tolist(), scores[row == q].tolist(), strict=True)) == e, name
+    x = np.floor(rng.normal(size=(8192, 64)) * 8).astype(np.int64)
+    block, began = topk.Block.of(np.arange(8192), x), time.process_time()
+    topk.search_all(np.arange(2048), x[:2048], block, k, np.full(2048, topk.NO_FLOOR))
+    assert time.process_time() - began < 8
+
+
 def test_topk_huge_components_and_empty_table(spark):
     rows = [(k, [float(v) * 2.0**28, 1.0], "clash") for k, v in enumerate((3, -5, 7, 7))]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
