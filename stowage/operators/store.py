@@ -127,21 +127,21 @@ def read_validity(content: Column, hashed: Column, algorithm: Column, size: Colu
     """struct(is_valid, errors, warnings) of a chunk that was read: a wrong digest gives two errors, another size than known a warning."""
     wrong = _differs(content, hashed, algorithm)
     errors = F.array_compact(F.array(F.when(hashed == "", "hash is empty"), F.when(~hashed.rlike("^[0-9a-fA-F]*$"), "hash contains non-hex characters"), F.when(wrong, "hash mismatch"), F.when(wrong, "content is not what was stored")))
-    warnings = F.array_compact(F.array(F.when(size != F.length(content), "size differs from the metadata")))
+    warnings = F.array_compact(F.array(F.when(size != F.octet_length(content), "size differs from the metadata")))
     return F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings"))
 
 
 def validity(content: Column, hashed: Column, algorithm: Column, allowed=("sha256",), least: int = 0, most: int | None = None) -> Column:
-    """struct(is_valid, errors, warnings) of a chunk and its identifier."""
+    """struct(is_valid, errors, warnings) of a chunk and its identifier; sizes are bytes, of text too."""
     errors = [
         F.when(hashed == "", "hash is empty"),
         F.when(~hashed.rlike("^[0-9a-fA-F]*$"), "hash contains non-hex characters"),
         F.when(~F.lower(algorithm).isin(*allowed), "algorithm not allowed"),
-        F.when(F.length(content) < least, "content too small"),
+        F.when(F.octet_length(content) < least, "content too small"),
         F.when(_differs(content, hashed, algorithm), "hash mismatch"),
     ]
     if most is not None:
-        errors.append(F.when(F.length(content) > most, "content too large"))
+        errors.append(F.when(F.octet_length(content) > most, "content too large"))
     wrong = F.array_compact(F.array(*errors))
     digits = types.lookup(F.lower(algorithm), {k: 2 * v for k, v in HASH_SIZES.items()}, 64)
     warnings = F.array_compact(F.array(F.when(F.length(hashed) != digits, F.concat(F.lit("hash length "), F.length(hashed).cast("string")))))

@@ -48,3 +48,13 @@ def test_can_read_judges_every_whole_document(spark, tmp_path):
     spark.createDataFrame([(k, t, "en", "src0") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = registry.queries()["can_read"](spark, str(tmp_path)).collect()
     assert {r["pos"]: {k for k in ("dmg", "iso", "vhd", "img", "raw") if r[k]} for r in rows} == dict(enumerate(expected))
+
+
+def test_validate_write_tells_bytes_from_characters(spark, tmp_path):
+    texts = [None, "é" * 49, "é" * 50, "é" * 99, "é" * 100, "a" * 99, "a" * 100, "ü" * 60, "b" * 99]
+    spark.createDataFrame([(k, t, "en", "src0") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.queries()["validate_write"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(SQL["validate_write"]).fetchall())
+    assert [r[1] for r in got][1:4] == [False, True, True]
