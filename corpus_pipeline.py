@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import decontaminate, jaccard, langid, packing, pii
-from stowage.llm.common import materialize, table
+from stowage.llm.common import materialize, split_by_filter, table
 from stowage.llm.queries import tokenizer_path
 
 LEAST_LANG_SCORE = 0.5
@@ -27,13 +27,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of documents linked by their shingles."""
+    """The smallest document of each group of documents linked by their shingles.
+
+    Only texts whose id may be dropped or repeated, by a filter of fixed size, are dealt out by their id; all others stay where they lie.
+    """
     found = materialize(jaccard.join(docs), "pipeline-groups").where("doc_id is not null")
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    rest, touched = split_by_filter(docs, dropped.union(repeated), "doc_id", F.col("doc_id"))
+    judged = touched.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return rest.unionByName(judged.select(*docs.columns)).unionByName(touched.where("doc_id is null"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialize
+from stowage.llm.common import materialize, split_by_filter
 
 # The patterns of the contract, with anchors that keep them linear.
 PATTERNS = {
@@ -164,9 +164,15 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``find`` in its text replaced by its kind in brackets; overlapping spans count as the first."""
-    spans = find(docs).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_id", "_hash"])
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_hash": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    """``docs`` with every span of ``find`` in its text replaced by its kind in brackets; overlapping spans count as the first.
+
+    Only texts that may hold a span, by a filter of fixed size over their ids, meet the spans; all others stay where they lie.
+    """
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    spans = find(docs).select(named.alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_id", "_hash"])
+    spans = materialize(spans, "pii-spans")
+    clear, touched = split_by_filter(docs, spans.select(F.xxhash64("_id").alias("key")), "key", F.xxhash64(named))
+    keyed = touched.withColumns({"_id": named, "_hash": F.sha2(F.coalesce("text", F.lit("")), 256)})
     by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -178,4 +184,4 @@ def redact(docs: DataFrame) -> DataFrame:
     rest = F.aggregate(by_start, first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     text = F.when(F.col("_spans").isNotNull(), rest).otherwise(F.col("text"))
     joined = keyed.join(spans, ["_id", "_hash"], "left").withColumn("text", text)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return clear.unionByName(joined.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -537,6 +537,27 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(after)
 
 
+def test_pipeline_leaves_untouched_texts_in_place(spark, tmp_path):
+    """Texts that keep their row as it is meet a broadcast filter alone, so they are not dealt out."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = [prose(40, rng) for _ in range(12)]
+    frame(spark, [*texts, texts[2], "mail some.one@example.com now"]).withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for stage in (corpus_pipeline.near_duplicates, pii_redacted):
+        out = stage(spark, docs, str(tmp_path))
+        plan = out._jdf.queryExecution().optimizedPlan()
+        assert plan.nodeName() == "Union"
+        first = plan.children().apply(0).toString()
+        assert first.count("Join ") == first.count("strategy=broadcast") == 1 and "Aggregate" not in first
+        assert sorted(r["doc_id"] for r in out.collect()) == [k for k in range(14) if k != 12 or stage is pii_redacted]
+
+
+def pii_redacted(spark, docs, sf_dir):
+    return pii.redact(docs)
+
+
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(5)
     for _ in range(300):
