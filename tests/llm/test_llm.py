@@ -114,6 +114,55 @@ def test_repeats_finds_every_shared_passage(spark, mixed):
             assert a == b
 
 
+def test_repeats_names_all_pairs_of_a_small_run(spark):
+    rng = random.Random(21)
+    passage = prose(60, rng)
+    texts = [prose(20, rng) + " " + passage + " " + prose(20, rng) for _ in range(8)]
+    pairs = {(r["doc_id"], r["other_id"]) for r in substrings.repeats(frame(spark, texts)).collect()}
+    assert pairs == {(a, b) for a in range(8) for b in range(8) if a != b}
+
+
+def test_repeats_links_all_holders_of_large_runs(spark):
+    rng = random.Random(22)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    base, line = own(400), own(20)
+    # sliding windows of one text: each of its words lies in 18 documents or so, those next to each other share 53 words
+    texts = [" ".join(own(30) + base[3 * k : 3 * k + 56] + own(30)) for k in range(100)]
+    # two passages behind one line; all others hold the line alone
+    first, second = own(50), own(50)
+    texts += [" ".join(own(15) + line + tail + own(15)) for tail in (first, second) for _ in range(20)]
+    texts += [" ".join(own(40) + line + own(40)) for _ in range(40)]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    rows = substrings.repeats(frame(spark, texts)).collect()
+    for r in rows:
+        parent[find(r["doc_id"])] = find(r["other_id"])
+    groups = [range(100), range(100, 120), range(120, 140)]
+    assert [len({find(k) for k in g}) for g in groups] == [1, 1, 1]
+    assert {r["doc_id"] for r in rows} == set(range(140))
+    for r in rows:
+        assert texts[r["doc_id"]].split()[r["start"] : r["end"]] == texts[r["other_id"]].split()[r["other_start"] : r["other_end"]] or r["identity"] < 1
+
+
+def test_edits_of_many_differences():
+    rng = random.Random(23)
+    for _ in range(200):
+        x, y = ([rng.randrange(9) for _ in range(rng.randint(1, 30))] for _ in range(2))
+        row = list(range(len(y) + 1))
+        for k, a in enumerate(x):
+            new = [k + 1]
+            for j, b in enumerate(y):
+                new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+            row = new
+        for most in (2, 30):
+            assert substrings._edits(np.array(x), np.array(y), most) == min(row[-1], most + 1)
+
+
 def test_repeats_leaves_clean_documents_alone(spark):
     rng = random.Random(11)
     texts = [prose(200, rng) + " " + prose(0, rng) for _ in range(20)] + ["a common line of ten words that many texts hold " + prose(100, rng) for _ in range(5)]
