@@ -9,12 +9,15 @@ the documents' own again at the end of each stage; ties between copies go to the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import decontaminate, jaccard, langid, packing, pii
 from stowage.llm.common import materialize, split_by_filter, table
 from stowage.llm.queries import tokenizer_path
+from stowage.session import ship
 
 LEAST_LANG_SCORE = 0.5
 
@@ -55,7 +58,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs, tokenizer_path()))
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("leaks", leaks), ("private_data", private_data), ("packed", packed)]
+def _shipped(stage: Callable) -> Callable:
+    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+
+
+STAGES = [(stage.__name__, _shipped(stage)) for stage in (language, near_duplicates, leaks, private_data, packed)]
 
 ORACLE_SQL = None
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -621,6 +622,41 @@ def test_sketches_never_rule_out_a_link():
             assert jaccard.may_link(jaccard.sketch(x), jaccard.sketch(y), len(x), len(y), 75)
 
 
+def test_jaccard_blocks_hold_little_but_tokens(mixed):
+    """Beside four bytes a token, a text's entry in a bucket is its node and one or two bytes each for its size and count."""
+
+    class Frequent:
+        value = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+    texts = pa.RecordBatch.from_arrays([pa.array(mixed)], ["text"])
+    rows = [r for b in jaccard._prefixes(5, 75, 1, Frequent)(iter([texts])) for r in b.to_pylist()]
+    assert len(rows) == jaccard.ORDERS
+    for r in rows:
+        n = len(r["nodes"]) // 8
+        assert len(r["sizes"]) + len(r["counts"]) <= 4 * n
+        counts = jaccard._widened([r["counts"]], [n])
+        assert counts.sum() == len(r["tokens"]) // 4
+        assert counts.tolist() == [jaccard.prefix_length(m, 75) for m in jaccard._widened([r["sizes"]], [n]).tolist()]
+
+
+def test_jaccard_buckets_are_sorted_in_parts(spark, monkeypatch, mixed):
+    monkeypatch.setattr(jaccard, "PART_TOKENS", 50)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, mixed)).collect()}
+    assert [got[k] for k in range(len(mixed))] == brute_components(mixed)
+
+
+def test_pipeline_bounds_the_bytes_of_arrow_batches(spark, tmp_path):
+    """Texts are of any length: a stage's Python workers get a bounded number of bytes at once, not of rows."""
+    import corpus_pipeline
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = frame(spark, [prose(100_000, random.Random(k)) for k in range(24)]).coalesce(1)
+    for _, stage in corpus_pipeline.STAGES[:1]:
+        stage(spark, docs, str(tmp_path)).count()
+    sizes = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert len(sizes) > 1 and max(r["n"] for r in sizes) < 6_000_000
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 40])
 def test_jaccard_runs_in_blocks(spark, monkeypatch, n):
     """Runs above the block size meet in blocks; documents outside the main group find the partner they have."""
