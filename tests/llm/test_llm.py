@@ -463,6 +463,19 @@ def test_mixing_is_a_code(spark):
     assert seen["score"] > seen["base_score"]
 
 
+def test_mixing_fits_on_the_fitting_texts_alone(spark):
+    """Only their texts travel to be fitted on, and they are told the same as beside all others."""
+    rng = random.Random(8)
+    docs = frame(spark, [prose(rng.randint(1, 200), rng) for _ in range(200)] + ["", None]).select("doc_id", "text").coalesce(1)
+    (row,) = mixing._pack(docs, F.lit(True)).toArrow().to_pylist()
+    (small,) = (r for b in mixing._fitting(iter([pa.RecordBatch.from_pylist([row])])) for r in b.to_pylist())
+    whole, part = mixing.read_batch(row), mixing.read_batch(small)
+    assert 0 < len(part.sizes) < len(whole.sizes) / 4 and part.fit.all()
+    assert small["ids"] == [i for i, fit in zip(row["ids"], whole.fit, strict=True) if fit] and small["batch"] == row["batch"]
+    assert part.unique[part.token].tolist() == whole.unique[whole.token][whole.fit[whole.text]].tolist()
+    assert part.unique.tolist() == whole.unique[whole.count(whole.fit) > 0].tolist()
+
+
 def test_mixing_without_training(spark):
     docs = frame(spark, ["a b", None])
     rows = mixing.score(docs, F.lit(False)).collect()
