@@ -690,6 +690,25 @@ def test_jaccard_runs_in_blocks(spark, monkeypatch, n):
     assert [got[k] for k in range(len(texts))] == [c for _, c in brute_components(texts)]
 
 
+@pytest.mark.parametrize("changed", [20, 26])
+def test_jaccard_large_groups_give_fewer_links_than_nodes(spark, monkeypatch, changed):
+    """Two groups of copies just above or below the threshold: neither sketches nor links give the square of a group."""
+    rng, rows, write = random.Random(changed), [], jaccard.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        rows.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    base = prose(200, rng).split()
+    other = base[:80] + [f"z{k}" for k in range(changed)] + base[80 + changed :]
+    texts = [" ".join([*words, f"y{side}{k}"]) for side, words in enumerate((base, other)) for k in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == [c for _, c in brute_components(texts)]
+    assert max(n for label, n in rows if label in ("jaccard-cross", "jaccard-live")) <= len(texts)
+
+
 @pytest.mark.parametrize("capital", ["İ", "Σ", "İ̇"])
 def test_word_ids_equal_the_tokeniser(capital):
     rng, table = random.Random(ord(capital[0])), packing.word_ids(queries.tokenizer_path())
